@@ -43,7 +43,7 @@ class Rule(NamedTuple):
 RULES: tuple[Rule, ...] = (
     Rule("word_length", "word_chars", "n_words", 200, 1500),
     Rule("symbol_ratio", "n_symbols", "n_words", None, 25),
-    Rule("dup_line_ratio", "n_dup_lines", "n_lines", None, 30),
+    Rule("dup_line_ratio", "n_dup_lines", "n_lines", None, 50),
     Rule("stop_words", "n_stop_words", "", 200, None),
     Rule("letter_ratio", "n_letters", "word_chars", 60, None),
     Rule("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 90),

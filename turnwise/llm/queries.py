@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import read_table
+from turnwise.llm.common import held_out, read_table
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,26 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), modulus=4, remainder=2)
+    out = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), toxicity.scorer(lexicon)("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from turnwise.llm import bpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.with_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    both = coded.select("doc_id", "ids", bpe.decoder(path, pattern)("ids").alias("decoded"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import quality_rules
 
@@ -24,9 +44,31 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs, modulus=4, remainder=2)
+    out = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), langid.predictor(profiles)("text").alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import classifier
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, read_table(spark, sf_dir, "labels"), "quality", modulus=5, remainder=0)
+    out = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), classifier.scorer(model)("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= classifier.THRESHOLD).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity": op3_toxicity,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op9_language": op9_language,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
