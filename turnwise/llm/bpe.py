@@ -2,10 +2,11 @@
 
 A sequence of tokens is the encoding of its bytes exactly if every two neighbours are the encoding of theirs. So the
 merges compile into a machine that reads bytes and guesses where tokens end: its hypotheses are a place in the trie of
-tokens with the token before. ``Transducer`` determinises it lazily: a state is the set of live hypotheses with their tokens
-not yet emitted, built when first reached and kept; tokens are emitted as soon as all hypotheses agree, which
-is at the latest after as many bytes as the longest token has. Whole pieces that are a token are that token, as in the
-library whose ids these are.
+tokens with the token before. ``Transducer`` determinises it lazily: a state is the set of live hypotheses, built when first reached
+and kept, and a step puts out the one token that ends the encoding of the bytes read so far. The tokens before it
+follow from where that token begins; a window of bytes is held back, and what all live hypotheses share is emitted
+when it is full, so lookahead is bounded. Whole pieces that are a token are that token, as in the library whose
+ids these are.
 
 Texts are split by the vocabulary's pattern, each match being encoded by itself. Work on pieces met before is kept in a
 bounded memory. All is row by row: no shuffle, no skew.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States and pieces that are kept; beyond them a memory starts anew. Only speed depends on it.
-STATES, PIECES = 150_000, 250_000
+STATES, PIECES = 400_000, 350_000
+#: Bytes of a piece that are held back before tokens are emitted; more than the longest token has.
+WINDOW = 1024
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Runs that no match of the pattern crosses: a word with the blank before it, or white space.
 _RUNS = regex.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -42,25 +45,28 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.limit = ranks, states
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.length = {v: len(k) for k, v in ranks.items()}
         self.child: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 key = node << 8 | b
-                node = self.child.get(key, 0)
-                if not node:
-                    node = self.child[key] = len(self.token_at)
+                node_below = self.child.get(key, 0)
+                if not node_below:
+                    node_below = self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                node = node_below
             self.token_at[node] = rank
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1, ()),)
+        start = (0,)  # a hypothesis: node << 20 | token before + 1
         self.states = [start]
         self.number = {start: 0}
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.step: dict[int, int] = {}  # state << 8 | byte -> state << 20 | token that ends the text up to there
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding by definition: merge the pair of least rank, the leftmost first, until none is left."""
@@ -73,11 +79,11 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def fits(self, before: int, token: int) -> bool:
-        """Whether the two are the encoding of their bytes; at a start, whether the token is of its own."""
-        key = (before, token)
+        """Whether the two are the encoding of their bytes; at a start (-1), whether the token is of its own."""
+        key = before << 20 | token
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 8 * self.limit:
+            if len(self._fits) > 4 * self.limit:
                 self._fits.clear()
             if before < 0:
                 known = self.merge(self.bytes_of[token]) == [token]
@@ -87,46 +93,61 @@ class Transducer:
             self._fits[key] = known
         return known
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, done = [], None
-        for node, last, pending in self.states[state]:
-            node = self.child.get(node << 8 | byte, 0)
+    def _advance(self, state: int, byte: int) -> int:
+        """The step that wasn't needed before: all hypotheses read the byte; exactly one token ends the text so far."""
+        live, done, child, token_at = [], -1, self.child, self.token_at
+        for h in self.states[state]:
+            node = child.get(h >> 20 << 8 | byte)
             if node:
-                live.append((node, last, pending))
-                token = self.token_at[node]
-                if done is None and token >= 0 and self.fits(last, token):
-                    done = (0, token, (*pending, token))
-        if done is None:
+                last = h & 0xFFFFF
+                live.append(node << 20 | last)
+                if done < 0 and token_at[node] >= 0 and self.fits(last - 1, token_at[node]):
+                    done = token_at[node]
+        if done < 0:
             raise ValueError("a byte of the text is no token of the vocabulary")
-        live.append(done)
-        common = 0
-        shortest = min(len(p) for _, _, p in live)
-        while common < shortest and len({p[common] for _, _, p in live}) == 1:
-            common += 1
-        out = live[0][2][:common]
-        key = tuple((node, last, p[common:]) for node, last, p in live)
+        live.append(done + 1)
+        key = tuple(live)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.step[state << 8 | byte] = (to, out)
-        return to, out
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+        found = self.step[state << 8 | byte] = to << 20 | done
+        return found
+
+    def _agreed(self, ends: list[int], state: int) -> int:
+        """How many of the bytes read lie in tokens that all live hypotheses share."""
+        heads = {len(ends) - self.depth[h >> 20] for h in self.states[state]}
+        while len(heads) > 1:
+            last = max(heads)
+            heads = (heads - {last}) | {last - self.length[ends[last - 1]]}
+        return heads.pop()
+
+    def _trace(self, ends: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= self.length[token]
+        return out[::-1]
+
+    def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(self.states) > self.limit:
             self._reset()
-        state, out, step = 0, [], self.step
+        state, out, ends, get = 0, [], [], self.step.get
         for b in piece:
-            found = step.get(state << 8 | b) or self._advance(state, b)
-            state = found[0]
-            if found[1]:
-                out += found[1]
-        if piece:
-            out += self.states[state][-1][2]  # the hypothesis that ends here
-        return tuple(out)
+            found = get(state << 8 | b)
+            if found is None:
+                found = self._advance(state, b)
+            state = found >> 20
+            ends.append(found & 0xFFFFF)
+            if len(ends) > WINDOW:
+                sure = self._agreed(ends, state)
+                out += self._trace(ends, sure)
+                ends = ends[sure:]
+        return out + self._trace(ends, len(ends))
 
 
 class Utf8:
@@ -176,6 +197,7 @@ class Coder:
         self.machine = Transducer(self.ranks)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.bytes_of = self.machine.bytes_of
         self.text_of: dict[int, str | None] = {}
         for token, data in self.bytes_of.items():
@@ -185,21 +207,26 @@ class Coder:
                 self.text_of[token] = None
 
     def _new(self, run: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for m in self.pattern.finditer(run):
-            out += self.machine.encode(m[0].encode("utf-8", "replace"))
+        found = self.older.get(run)
+        if found is None:
+            if run.isalpha() or run[:1] == " " and run[1:].isalpha():
+                out = self.machine.encode(run.encode())
+            else:
+                out = []
+                for m in self.pattern.finditer(run):
+                    out += self.machine.encode(m[0].encode("utf-8", "replace"))
+            found = tuple(out)
         if len(run) <= 64:
-            if len(self.known) >= PIECES:
-                self.known.clear()
-            self.known[run] = tuple(out)
-        return tuple(out)
+            if len(self.known) >= PIECES:  # the older half goes
+                self.older, self.known = self.known, {}
+            self.known[run] = found
+        return found
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         if text:
-            known, new = self.known, self._new
             for run in _RUNS.findall(text):
-                out += known.get(run) or new(run)
+                out += self.known.get(run) or self._new(run)
         return out
 
     def decode(self, ids: list[int]) -> str:
