@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import held_out, read_table
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import tiff
+
+    stored = read_table(spark, sf_dir, "documents").select("doc_id", tiff.text_encoder(width=576)("text").alias("media"))
+    keyed = stored.select("doc_id", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    pages = tiff.read_pages(keyed, "media", ["doc_id", "media_bytes", "media_sha256"])
+    size = F.octet_length("samples").cast("long")
+    return pages.select(
+        "doc_id",
+        F.regexp_extract("description", r"n_bytes=(\d+)", 1).cast("long").alias("n_bytes"),
+        size.alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import mixing
 
@@ -26,6 +45,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from turnwise.llm import idcode
+
+    written = idcode.write_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    ids = idcode.read_ids(spark, *written)
+    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +73,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import warc
+
+    folder, parts = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    out = warc.read_archive(spark, folder, parts, payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import langid
 
@@ -63,12 +100,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_mix_sources": op2_mix_sources,
-    "op3_toxicity": op3_toxicity,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op7_quality_rules": op7_quality_rules,
-    "op9_language": op9_language,
-    "op10_quality_classifier": op10_quality_classifier,
+    f.__name__: f
+    for f in (op1_tiff_pages, op2_mix_sources, op3_toxicity, op5_token_ids, op6_byte_bpe, op7_quality_rules, op8_warc_index, op9_language, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
