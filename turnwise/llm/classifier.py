@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
 Tokens are runs of letters and digits or runs of other marks. Features are single tokens and pairs, hashed
-into 2^18 places; a pair of equal tokens is one feature of its own. A text's vector holds each feature once and has length 1,
-so its score is one sparse dot product.
+into 2^18 places; a pair of equal tokens is one feature of its own. A text's vector holds the root of each feature's share
+of the text, so it has length 1, and the score is one sparse dot product.
 
 Training reads a bounded sample of labelled rows (FIT_ROWS, a parameter), chosen by the hash of the id; features
 are extracted on all executors, and one task makes the ordered passes over the bounded sample. The
@@ -25,14 +25,15 @@ from turnwise.llm.common import labelled_sample
 
 BITS = 18
 FIT_ROWS = 12_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
+#: Passes are made until about so many updates are done, PASSES at most.
+UPDATES, PASSES = 48_000, 30
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 1e-4
 THRESHOLD = 0.3
 _SAME = np.uint64(0x5851F42D4C957F2D)
 
 
-def features(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct feature numbers of each text, ascending."""
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the distinct feature numbers, ascending, and their values."""
     out = []
     for _, data, offsets in hashing.text_slices(texts):
         words, first = hashing.tokens(data, offsets, hashing.WORDS_AND_MARKS, None)
@@ -41,20 +42,21 @@ def features(texts: pa.Array) -> list[np.ndarray]:
         shift = np.uint64(64 - BITS)
         words, pairs = (words >> shift).astype(np.int32), (pairs >> shift).astype(np.int32)
         for a, b in zip(first[:-1], first[1:], strict=True):
-            out.append(np.unique(np.concatenate([words[a:b], pairs[a : max(a, b - 1)]])))
+            found, n = np.unique(np.concatenate([words[a:b], pairs[a : max(a, b - 1)]]), return_counts=True)
+            out.append((found, np.sqrt(n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
-def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over (features, label) in the given order; (weights, bias)."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+    """FTRL-proximal over (features, values, label) in the given order; (weights, bias)."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i):
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     bias = 1 << BITS
-    rows = [(np.append(i, bias), np.append(np.full(len(i), 1 / np.sqrt(max(1, len(i)))), 1.0), y) for i, y in rows]
-    for _ in range(epochs):
+    rows = [(np.append(i, bias), np.append(x, 1.0), y) for i, x, y in rows]
+    for _ in range(min(PASSES, -(-UPDATES // max(1, len(rows))))):
         for i, x, y in rows:
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -70,15 +72,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder:
 
     def extract(batches):
         for b in batches:
-            found = [x.tobytes() for x in features(b["text"])]
-            yield pa.RecordBatch.from_arrays([b["key"], b["y"], pa.array(found, pa.binary())], ["key", "y", "idx"])
+            found = features(b["text"])
+            yield pa.RecordBatch.from_arrays([b["key"], b["y"], pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["key", "y", "idx", "val"])
 
     def learn(batches):
-        got = sorted((k, y, i) for b in batches for k, y, i in zip(b["key"].to_pylist(), b["y"].to_pylist(), b["idx"].to_pylist(), strict=True))
-        w, bias = train([(np.frombuffer(i, np.int32), y) for _, y, i in got])
+        got = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        w, bias = train([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for _, y, i, x in got])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
-    got = sample.select(F.xxhash64("doc_id").alias("key"), "y", "text").mapInArrow(extract, "key bigint, y int, idx binary")
+    got = sample.select(F.xxhash64("doc_id").alias("key"), "y", "text").mapInArrow(extract, "key bigint, y int, idx binary, val binary")
     model = got.coalesce(1).mapInArrow(learn, "w binary, bias double").first()
     return np.frombuffer(model["w"], np.float32), model["bias"]
 
@@ -90,7 +92,7 @@ def scorer(model: tuple[np.ndarray, float]):
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         w = np.frombuffer(packed, np.float32)
-        dots = np.array([w[i].sum(dtype=np.float64) / np.sqrt(max(1, len(i))) for i in features(texts)])
+        dots = np.array([w[i].astype(np.float64) @ x for i, x in features(texts)])
         return pa.array(1 / (1 + np.exp(-np.clip(dots + bias, -35, 35))), pa.float64())
 
     return score.asNondeterministic()  # so that a filter on the score doesn't compute it twice
