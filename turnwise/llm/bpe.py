@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
+import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States and pieces that are kept; beyond them a memory starts anew. Only speed depends on it.
-STATES, PIECES = 400_000, 350_000
+STATES, PIECES = 250_000, 250_000
+#: Pieces of up to so many bytes step together; a group of texts that is encoded at a time has about GROUP runs.
+LOCKSTEP, GROUP = 64, 200_000
 #: Bytes of a piece that are held back before tokens are emitted; more than the longest token has.
 WINDOW = 1024
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Runs that no match of the pattern crosses: a word with the blank before it, or white space.
-_RUNS = regex.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_RUNS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +51,8 @@ class Transducer:
         self.ranks, self.limit = ranks, states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.child: dict[int, int] = {}
         self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
@@ -67,16 +74,24 @@ class Transducer:
         self.states = [start]
         self.number = {start: 0}
         self.step: dict[int, int] = {}  # state << 8 | byte -> state << 20 | token that ends the text up to there
+        self.table = _Table()  # the same steps, for many pieces at a time
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding by definition: merge the pair of least rank, the leftmost first, until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if best == 1 << 60:
+        never, rank = 1 << 60, self.ranks.get
+        cut = list(range(len(data) + 1))
+        pair = [rank(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while pair:
+            best = min(pair)
+            if best == never:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            i = pair.index(best)
+            del cut[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = rank(data[cut[i] : cut[i + 2]], never)
+            if i:
+                pair[i - 1] = rank(data[cut[i - 1] : cut[i + 1]], never)
+        return [self.ranks[data[x:y]] for x, y in zip(cut, cut[1:], strict=False)]
 
     def fits(self, before: int, token: int) -> bool:
         """Whether the two are the encoding of their bytes; at a start (-1), whether the token is of its own."""
@@ -111,8 +126,7 @@ class Transducer:
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        found = self.step[state << 8 | byte] = to << 20 | done
-        return found
+        return to << 20 | done
 
     def _agreed(self, ends: list[int], state: int) -> int:
         """How many of the bytes read lie in tokens that all live hypotheses share."""
@@ -140,7 +154,7 @@ class Transducer:
         for b in piece:
             found = get(state << 8 | b)
             if found is None:
-                found = self._advance(state, b)
+                found = self.step[state << 8 | b] = self._advance(state, b)
             state = found >> 20
             ends.append(found & 0xFFFFF)
             if len(ends) > WINDOW:
@@ -150,6 +164,77 @@ class Transducer:
         return out + self._trace(ends, len(ends))
 
 
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces as 32-bit numbers: all pieces step together, by whole-array lookups."""
+        if len(self.states) > self.limit or self.table.used > _Table.SIZE // 2:
+            self._reset()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        longest = int(sizes[0]) if len(sizes) else 0
+        text = np.frombuffer(b"".join(pieces[i].ljust(longest, b"\0") for i in order.tolist()), np.uint8).reshape(len(pieces), longest).T.astype(np.int64)
+        ends = np.zeros((longest, len(pieces)), np.int64)
+        state = np.zeros(len(pieces), np.int64)
+        for i in range(longest):
+            n = int(np.searchsorted(-sizes, -i, side="left"))  # those longer than i
+            keys = state[:n] << 8 | text[i, :n]
+            found = self.table.find(keys)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                for key in np.unique(keys[new]).tolist():
+                    self.table.add(key, self._advance(key >> 8, key & 255))
+                found[new] = self.table.find(keys[new])
+            state[:n] = found >> 20
+            ends[i, :n] = found & 0xFFFFF
+        at, rows, out = sizes.copy(), np.arange(len(pieces)), []
+        while len(rows):
+            rows = rows[at[rows] > 0]
+            column = np.full(len(pieces), -1, np.int32)
+            column[rows] = token = ends[at[rows] - 1, rows]
+            at[rows] -= self.lengths[token]
+            out.append(column)
+        ids = np.stack(out[::-1], axis=1)
+        held = ids >= 0
+        flat, stops = ids[held].astype("<i4").tobytes(), np.cumsum(held.sum(axis=1)) * 4
+        back = [b""] * len(pieces)
+        for i, a, b in zip(order.tolist(), np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist(), strict=True):
+            back[i] = flat[a:b]
+        return back
+
+
+class _Table:
+    """Steps by key, as two arrays with open addresses."""
+
+    SIZE = 1 << 20
+
+    def __init__(self):
+        self.keys, self.values, self.used = np.full(self.SIZE, -1, np.int64), np.zeros(self.SIZE, np.int64), 0
+
+    def _place(self, keys):
+        return (keys * 0x9E3779B1 >> 7) & (self.SIZE - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, or -1."""
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (self.SIZE - 1)
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def add(self, key: int, value: int) -> None:
+        at = self._place(key)
+        while self.keys[at] >= 0:
+            at = (at + 1) & (self.SIZE - 1)
+        self.keys[at], self.values[at] = key, value
+        self.used += 1
+
+
 class Utf8:
     """UTF-8 read byte by byte: ``feed`` gives the text that is complete and keeps the bytes of a character begun."""
 
@@ -196,8 +281,10 @@ class Coder:
         self.ranks = read_ranks(path)
         self.machine = Transducer(self.ranks)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.plain = pattern == public_tokenizers.PATTERN
+        self.single = {k: v.to_bytes(4, "little") for k, v in self.ranks.items()}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = self.machine.bytes_of
         self.text_of: dict[int, str | None] = {}
         for token, data in self.bytes_of.items():
@@ -206,29 +293,75 @@ class Coder:
             except UnicodeDecodeError:
                 self.text_of[token] = None
 
-    def _new(self, run: str) -> tuple[int, ...]:
-        found = self.older.get(run)
-        if found is None:
-            if run.isalpha() or run[:1] == " " and run[1:].isalpha():
-                out = self.machine.encode(run.encode())
+    def pieces(self, run: str) -> list[bytes]:
+        """The pattern's matches in a run. It takes letters and then marks, so plain words need no regular expression."""
+        if self.plain:
+            word = run.rstrip(".,;:!?*$%&#|")
+            if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+                data = run.encode()
+                n = len(run) - len(word)
+                return [data[:-n], data[-n:]] if n else [data]
+        return [x.encode("utf-8", "replace") for x in self.pattern.findall(run)]
+
+    def learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs that aren't in the newer memory, as 32-bit numbers."""
+        found, split, new = {}, [], {}
+        for run in runs:
+            ids = self.older.get(run)
+            if ids is not None:
+                found[run] = ids
+                continue
+            pieces = self.pieces(run)
+            split.append((run, pieces))
+            new.update(dict.fromkeys(pieces))
+        unknown = []
+        for p in new:
+            whole = self.single.get(p)
+            if whole is not None:
+                new[p] = whole
+            elif len(p) <= LOCKSTEP:
+                unknown.append(p)
             else:
-                out = []
-                for m in self.pattern.finditer(run):
-                    out += self.machine.encode(m[0].encode("utf-8", "replace"))
-            found = tuple(out)
-        if len(run) <= 64:
-            if len(self.known) >= PIECES:  # the older half goes
-                self.older, self.known = self.known, {}
-            self.known[run] = found
+                new[p] = np.array(self.machine.encode(p), "<i4").tobytes()
+        for at in range(0, len(unknown), 20_000):
+            part = unknown[at : at + 20_000]
+            new.update(zip(part, self.machine.encode_many(part), strict=True))
+        for run, pieces in split:
+            found[run] = new[pieces[0]] if len(pieces) == 1 else b"".join([new[p] for p in pieces])
+        if len(self.known) + len(found) > PIECES:  # the older half goes
+            self.older, self.known = self.known, {}
+        self.known.update((run, ids) for run, ids in found.items() if len(run) <= LOCKSTEP)
         return found
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if text:
-            for run in _RUNS.findall(text):
-                out += self.known.get(run) or self._new(run)
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and each collection would walk the memories
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, group, size = [], [], 0
+        for k, t in enumerate(texts):
+            group.append(_RUNS.findall(t or ""))
+            size += len(group[-1])
+            if size > GROUP or k + 1 == len(texts):
+                before = self.known
+                found = self.learn({run for runs in group for run in runs if run not in before})
+                for runs in group:
+                    try:
+                        ids = b"".join(map(self.known.__getitem__, runs))
+                    except KeyError:  # a long run, or the memory was begun anew
+                        ids = b"".join([found[r] if r in found else before[r] for r in runs])
+                    out.append(np.frombuffer(ids, "<i4"))
+                group, size = [], 0
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_many([text])[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         """Streaming: tokens of whole characters are looked up, others go through the machine."""
         pieces = list(map(self.text_of.__getitem__, ids))
@@ -253,11 +386,9 @@ def encoder(path: str, pattern: str):
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
-        c, sizes, parts = coder(path, pattern), [0], []
-        for t in texts:
-            parts.append(np.array(c.encode(t.as_py()), np.int32))
-            sizes.append(sizes[-1] + len(parts[-1]))
-        return pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
+        parts = coder(path, pattern).encode_many(texts.to_pylist())
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
     return encode.asNondeterministic()
 
