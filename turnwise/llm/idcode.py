@@ -18,6 +18,7 @@ order of their ids' bytes; an empty table gives no files; extra columns are igno
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import struct
@@ -76,6 +77,15 @@ class Tokens:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the end id, as bytes of ``kind``."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and each collection would walk the memories
+        try:
+            return self._encode(texts, end)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None], end: int) -> list[bytes]:
         last, out, group, size = np.array([end], self.kind).tobytes(), [], [], 0
         for t in [*texts, None]:
             group.append(_WORD.findall(t or ""))

@@ -45,6 +45,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import jaccard
+
+    return jaccard.join(read_table(spark, sf_dir, "documents"), width=3, share=90)
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,7 +107,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_tiff_pages, op2_mix_sources, op3_toxicity, op5_token_ids, op6_byte_bpe, op7_quality_rules, op8_warc_index, op9_language, op10_quality_classifier)
+    for f in (op1_tiff_pages, op2_mix_sources, op3_toxicity, op4_jaccard_join, op5_token_ids, op6_byte_bpe, op7_quality_rules, op8_warc_index, op9_language, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
