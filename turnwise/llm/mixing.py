@@ -4,7 +4,8 @@ Every source has a weight and a cap of ``max_epochs`` times its size. Weights sh
 share exceeds its cap is clamped there and the rest is shared again by weight, until no share exceeds a cap.
 Each document is then taken ``floor(target / source_size)`` whole times, and the words that are still missing
 come from documents in the order of a seeded hash: each a whole time more, and the one at the end a fraction.
-So the words taken meet the target to the word.
+So the words taken meet the target to the word. A source's plan is one row: how often all its documents are taken, and the
+hash up to which once more.
 
 Only DataFrame operations. The driver holds one row of totals for each round of clamping, never sources or
 documents. A hot source is split into hash buckets whose number grows with its rows: sums are kept by bucket, and only
@@ -12,7 +13,7 @@ rows of one bucket are ordered together.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, last in the order; sources
 without words have target 0; an empty table gives an empty result; repeated rows count each for itself, and rows
-equal in id are interchangeable; extra columns are ignored by ``mix`` and kept by ``repeat_rows``.
+of one id are taken alike; extra columns are ignored by ``mix`` and kept by ``repeat_rows``.
 """
 
 from __future__ import annotations
@@ -68,50 +69,65 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return state.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share)).drop("cap", "full")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies (whole repetitions) and part (words of the fractional one)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    ranked = _weighted(_ranked(totals.select("source", "source_size")), weights)
-    filled = materialize(water_fill(ranked, max_epochs))
+def seeded_key(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+
+
+def _of(source: Column) -> Column:
+    return source.eqNullSafe(F.col("of"))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """A row for each source of ``sized`` (source, size, key): ``of``, source_size, target, whole, cut, cut_part and cut_size.
+
+    ``whole`` is how often every document is taken; those with a key before ``cut`` are taken once more, and of those
+    with the key ``cut``, whose sizes sum to cut_size, cut_part words.
+    """
+    totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
+    filled = water_fill(_weighted(_ranked(totals.select("source", "source_size")), weights), max_epochs)
     quota = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
-    filled = filled.select("source", "source_size", "target", whole.alias("whole"), (quota - whole * F.col("source_size")).alias("missing"))
-    # the keys' first 20 bits deal a source's documents to buckets, in the order of the keys
-    rows = totals.select(F.col("source").alias("of"), (F.greatest(F.lit(1.0), F.ceil(F.col("source_rows") / bucket_rows))).cast("long").alias("buckets"))
-    per_source = filled.join(rows, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    per_source = materialize(per_source.withColumnRenamed("source", "of"))
-    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    filled = filled.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (quota - whole * F.col("source_size")).alias("missing"))
+    # the keys' first 20 bits deal a source's documents to buckets in the order of the keys
+    dealt = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / bucket_rows)).cast("long")
+    filled = materialize(filled.join(totals.select(F.col("source").alias("s"), dealt.alias("buckets")), F.col("of").eqNullSafe(F.col("s"))).drop("s"))
     first = F.conv(F.substring("key", 1, 5), 16, 10).cast("long")
-    dealt = joined.withColumn("bucket", F.least(F.floor(first * F.col("buckets") / (1 << 20)).cast("long"), F.col("buckets") - 1))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), (F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
-    placed = dealt.join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b"))).drop("of", "b")
-    order = W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("missing") - start)).cast("long")
-    out = placed.withColumn("more", more)
-    taken = F.col("whole") * F.col("size") + F.col("more")
-    entire = (F.col("more") == F.col("size")) & (F.col("size") > 0)
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("whole_copies"), entire.alias("once_more"), F.when(entire, 0).otherwise(F.col("more")).cast("long").alias("part"))
+    placed = sized.join(filled.select("of", "missing", "buckets"), _of(F.col("source"))).withColumn("bucket", F.least(F.floor(first * F.col("buckets") / (1 << 20)).cast("long"), F.col("buckets") - 1))
+    sums = placed.groupBy("of", "bucket", "missing").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(W.partitionBy("of").orderBy("bucket"))
+    sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+    crossing = materialize(sums.where((F.col("before") <= F.col("missing")) & (F.col("upto") > F.col("missing"))).select(F.col("of").alias("c"), F.col("bucket").alias("b"), "before"))
+    inside = placed.join(crossing, F.col("of").eqNullSafe(F.col("c")) & (F.col("bucket") == F.col("b")))
+    keys = inside.groupBy("of", "key", "before", "missing").agg(F.sum("size").alias("cut_size"))
+    start = F.col("before") + F.sum("cut_size").over(W.partitionBy("of").orderBy("key")) - F.col("cut_size")
+    cut = keys.withColumn("start", start).where((F.col("start") <= F.col("missing")) & (F.col("start") + F.col("cut_size") > F.col("missing")))
+    cut = cut.select(F.col("of").alias("c"), F.col("key").alias("cut"), (F.col("missing") - F.col("start")).alias("cut_part"), "cut_size")
+    return materialize(filled.join(cut, F.col("of").eqNullSafe(F.col("c")), "left").select("of", "source_size", "target", "whole", "cut", "cut_part", "cut_size"))
+
+
+def _more() -> Column:
+    """Words beyond the whole repetitions."""
+    at_cut = F.floor(F.col("size") * F.col("cut_part") / F.greatest(F.lit(1), F.col("cut_size"))).cast("long")
+    return F.when(F.col("key") < F.col("cut"), F.col("size")).when(F.col("key") == F.col("cut"), at_cut).otherwise(0).cast("long")
 
 
-def copies() -> Column:
-    """Whole repetitions of a row of ``mix``."""
-    return F.col("whole_copies") + F.col("once_more").cast("long")
+def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, whole, more (words beyond whole repetitions) and taken."""
+    sized = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")))
+    out = sized.join(plan(sized, **options), _of(F.col("source"))).withColumn("more", _more())
+    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "more", (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows: each document as often as it is taken, the fractional one if at least half of it is.
+def repeat_rows(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The mix as rows: each document as often as it is taken, a fraction counting as one if it is half the document or more.
 
-    Equal rows of one id share what the id's rows take together, in whole rows.
+    Documents without words are not taken. Texts are not dealt out: they meet only the table of sources.
     """
-    name = "turnwise_mix"
-    plan = mix(docs, **options)
-    nearest = copies() + F.when(2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)
-    times = plan.groupBy(F.col("doc_id").alias(f"{name}_id"), F.col("source").alias(f"{name}_source"), F.col("size").alias(f"{name}_size")).agg(F.sum(nearest).alias(f"{name}_times"), F.count("*").alias(f"{name}_rows"))
-    match = docs["doc_id"].eqNullSafe(F.col(f"{name}_id")) & docs["source"].eqNullSafe(F.col(f"{name}_source")) & (text_size(docs["text"]) == F.col(f"{name}_size"))
-    each = F.ceil(F.col(f"{name}_times") / F.col(f"{name}_rows")).cast("int")
-    out = docs.join(times, match)
-    return out.withColumn(f"{name}_n", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).where(each > 0).select(*(docs[c] for c in docs.columns))
+    sized = materialize(docs.select("source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")))
+    packed = plan(sized, **options).select("of", F.struct("whole", "cut", "cut_part", "cut_size").alias("turnwise_plan"))
+    of = "turnwise_of"
+    p, key = F.col("turnwise_plan"), seeded_key(docs["doc_id"], seed)
+    once = (key < p["cut"]) | ((key == p["cut"]) & (2 * p["cut_part"] >= p["cut_size"]))
+    times = F.when(F.coalesce(docs["text"].rlike(WORD), F.lit(False)), p["whole"] + F.when(once, 1).otherwise(0)).otherwise(0)
+    joined = docs.join(packed.withColumnRenamed("of", of), docs["source"].eqNullSafe(F.col(of)))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("turnwise_copy")).drop("turnwise_copy")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import held_out, read_table
+from turnwise.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +110,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_tiff_pages, op2_mix_sources, op3_toxicity, op4_jaccard_join, op5_token_ids, op6_byte_bpe, op7_quality_rules, op8_warc_index, op9_language, op10_quality_classifier)
 }
-
-ORACLE_SQL: dict[str, str] = {}
