@@ -51,8 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_ids(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    both = coded.select("doc_id", "ids", bpe.decoder(path, pattern)("ids").alias("decoded"))
+    both = bpe.round_trip(docs, ["doc_id"], path, pattern)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

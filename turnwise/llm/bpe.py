@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States and pieces that are kept; beyond them a memory starts anew. Only speed depends on it.
-STATES, PIECES = 250_000, 250_000
+STATES, PIECES = 150_000, 150_000
 #: Pieces of up to so many bytes step together; a group of texts that is encoded at a time has about GROUP runs.
 LOCKSTEP, GROUP = 64, 200_000
+#: Rows that are coded at a time.
+ROWS = 500
 #: Bytes of a piece that are held back before tokens are emitted; more than the longest token has.
 WINDOW = 1024
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -406,3 +408,21 @@ def decoder(path: str, pattern: str):
 
 def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> DataFrame:
     return docs.withColumn(name, encoder(path, pattern)(F.col("text")))
+
+
+def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
+    """``keep``, ids and decoded (the text that the ids give), in one pass that holds few rows at a time."""
+    own = docs.select(*keep).schema
+
+    def code(batches):
+        c = coder(path, pattern)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids = c.encode_many(part.column(part.num_columns - 1).to_pylist())
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                decoded = pa.array([c.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), decoded], [*own.names, "ids", "decoded"])
+
+    schema = T.StructType([*own.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select(*keep, F.col("text").alias("turnwise_text")).mapInArrow(code, schema)

@@ -68,8 +68,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import bpe
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    both = coded.select("doc_id", "ids", bpe.decoder(path, pattern)("ids").alias("decoded"))
+    both = bpe.round_trip(read_table(spark, sf_dir, "documents"), ["doc_id"], path, pattern)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
