@@ -6,16 +6,17 @@ size are one group. Groups meet by prefix shingle, pairs are filtered by size an
 members and verified on the whole sets.
 
 Skew. A shingle shared by more than BUCKET members (families of near copies, passages in many documents) would
-give a square of pairs. Such a bucket instead takes its most copied member as pivot, and each member is replaced by its
+give a square of pairs. Such a bucket instead takes a pivot, its most copied member or that of a bucket it overlaps, and each member is replaced by its
 difference from the pivot (the shingles that only one of the two has). Links to the pivot follow at once. For two members
 with differences D and E, the distance between the sets is that between D and E, so the same prefix join is made on the
 differences: members with |D| + |E| within the distance allowed are both linked to the pivot, all others must share one of the rarest
 shingles of the differences. Buckets that are still large take a pivot of their own, LEVELS times; what is left then is
 joined pair by pair. No link between components is lost at any step, no bucket is capped.
 
-Order. A sketch of 2^21 counters, filled by all documents and added up in parts, gives each shingle a class of frequency; order is
-by class, then hash. Any order is correct; this one makes prefixes rare. Sketch and bitmaps have a fixed size (2 to 8 MB),
-so they may reach the driver and be broadcast. Sets are rebuilt from texts for documents that have a candidate.
+Order. A sketch of 2^22 counters, filled by all documents and added up in parts, gives each shingle a class of frequency; order is
+by class, then hash. Any order is correct; this one makes prefixes rare. Sketch and bitmaps have a fixed size (2 to 4 MB),
+so they may reach the driver and be broadcast. A parity signature of two bits or more for each shingle bounds the distance of two sets from below, so
+most pairs that aren't links go before whole sets are fetched. Sets are rebuilt from texts for documents that still have a candidate.
 
 Components come from repeated minima over links with pointer jumping, each round written to the shared folder.
 
@@ -40,7 +41,7 @@ from turnwise.llm.common import materialize
 
 BUCKET = 32
 LEVELS = 3
-SKETCH_BITS, MAP_BITS = 21, 26
+SKETCH_BITS, MAP_BITS = 22, 24
 CHUNKS = 32
 
 
@@ -100,13 +101,33 @@ def ordered(sets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(classes[sets >> np.uint64(64 - SKETCH_BITS)].astype(np.int64) << 57 | (sets >> np.uint64(7)).astype(np.int64))
 
 
+def signature(x: np.ndarray) -> bytes:
+    """Parities of the shingles by their low bits, in a power of two of at least 64 and 2 n places."""
+    size = 1 << max(6, (2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount(x & (size - 1), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def least_distance(a: bytes, b: bytes) -> int:
+    """At most the symmetric difference of the two sets: each shingle that only one has flips one parity."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _digest(x: np.ndarray, *more: int) -> bytes:
     return hashlib.blake2b(x.tobytes() + repr(more).encode(), digest_size=16).digest()
 
 
 def _key(digest: bytes, doc_id: int | None) -> int:
     """Place in a bitmap of a document of this set and id."""
-    return int.from_bytes(hashlib.blake2b(digest + repr(doc_id).encode(), digest_size=8).digest(), "little") >> (64 - MAP_BITS)
+    return zlib.crc32(digest + (b"" if doc_id is None else str(doc_id).encode())) & ((1 << MAP_BITS) - 1)
+
+
+def _key_column() -> Column:
+    return F.crc32(F.concat("digest", F.coalesce(F.col("rep").cast("string"), F.lit("")).cast("binary"))).bitwiseAND((1 << MAP_BITS) - 1)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -158,33 +179,30 @@ class Likeness:
 
 
 def _prefixes(docs: DataFrame, classes, width: int, like: Likeness) -> DataFrame:
-    """doc_id, digest (of the set), grp (of prefix and size), n and prefix of every document."""
+    """doc_id, digest (of the set), grp (of prefix and size), n, prefix and signature of every document."""
 
     def build(batches):
         for b in batches:
             ids, rows = b["doc_id"].to_pylist(), []
             for doc, s in zip(ids, shingle_sets(b["text"], width), strict=True):
-                p = ordered(s, classes.value)[: like.prefix(len(s)) if len(s) else 0]
-                rows.append((doc, _digest(s), _digest(p, len(s)), len(s), p))
+                x = ordered(s, classes.value)
+                p = x[: like.prefix(len(s)) if len(s) else 0]
+                rows.append((doc, _digest(s), _digest(p, len(s)), len(s), p.copy(), signature(x)))
             for at in range(0, len(rows), 2000):
                 part = rows[at : at + 2000]
                 ends = np.cumsum([0, *(len(r[4]) for r in part)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[4] for r in part])))],
-                    ["doc_id", "digest", "grp", "n", "prefix"],
+                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[4] for r in part]))), pa.array([r[5] for r in part], pa.binary())],
+                    ["doc_id", "digest", "grp", "n", "prefix", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id bigint, digest binary, grp binary, n bigint, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id bigint, digest binary, grp binary, n bigint, prefix array<bigint>, sig binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, classes, width: int) -> DataFrame:
     """(digest, n, shingles) of the classes in ``wanted`` (digest, rep), from the texts; a bitmap spares most others."""
 
-    def key(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_key(d, i) for d, i in zip(b["digest"].to_pylist(), b["rep"].to_pylist(), strict=True)], pa.int64())], ["key"])
-
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("digest", "rep").mapInArrow(key, "key bigint")))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(_key_column().alias("key"))))
 
     def build(batches):
         for b in batches:
@@ -209,6 +227,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes, width: int) -> DataFrame:
     return found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
+def _near(pairs: DataFrame, signed: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) that their signatures don't rule out."""
+
+    def check(batches):
+        for b in batches:
+            keep = [least_distance(x, y) <= like.apart(m + n) for x, y, m, n in zip(*(b[c].to_pylist() for c in ("sig_a", "sig_b", "n_a", "n_b")), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own = signed.select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    other = signed.select(F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    return pairs.join(own, "a").join(other, "b").mapInArrow(check, "a binary, b binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose sets are alike."""
 
@@ -258,6 +289,16 @@ def _within(postings: DataFrame, like: Likeness) -> DataFrame:
     return joined.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
+def _pivots(hot: DataFrame) -> DataFrame:
+    """(family, pivot). A bucket's best member leads its members; a bucket then takes the best leader of any of its members.
+
+    So the buckets of one family of near copies agree on one pivot, which need not lie in each of them.
+    """
+    best = hot.groupBy("family").agg(F.max(F.struct("copies", "digest")).alias("best"))
+    leader = hot.join(best, "family").groupBy("digest").agg(F.max("best").alias("leader"))
+    return hot.select("family", "digest").join(leader, "digest").groupBy("family").agg(F.max("leader")["digest"].alias("pivot"))
+
+
 def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: doc_id, digest, n; classes: digest, rep, copies; links: a, b between digests).
 
@@ -308,9 +349,9 @@ def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels:
         if level == levels:
             left_over = hot
             break
-        pivots = hot.groupBy("family").agg(F.max(F.struct("copies", "digest"))["digest"].alias("pivot"))
+        pivots = _pivots(hot)
         family = materialize(hot.join(pivots, "family").select("pivot", "digest").where(F.col("pivot") != F.col("digest")).distinct())
-        if sets is None:  # of all that can be a member or pivot at any level
+        if sets is None:  # later levels have their members and pivots from among these
             everyone = family.select("digest").union(family.select(F.col("pivot").alias("digest"))).distinct()
             sets = materialize(_sets(docs, everyone.join(classed.select("digest", "rep"), "digest"), classes, width))
         apart = materialize(_differences(family, sets, like))
@@ -327,7 +368,12 @@ def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels:
     every = candidates[0]
     for c in candidates[1:]:
         every = every.union(c)
-    pairs = materialize(every.distinct())
+    pairs = every.distinct()
+    met_nodes = materialize(pairs)
+    nodes = met_nodes.select(F.col("a").alias("digest")).union(met_nodes.select(F.col("b").alias("digest"))).distinct()
+    reps = nodes.join(classed.select("digest", "n", "rep"), "digest")
+    signed = table.where(F.col("n") > 0).select("digest", "doc_id", "n", "sig").join(reps.select("digest", "rep"), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "n", "sig").dropDuplicates(["digest"])
+    pairs = materialize(_near(met_nodes, signed, like))
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     rest = materialize(_sets(docs, wanted.join(classed.select("digest", "rep"), "digest"), classes, width))
     found.append(_verified(pairs, rest, like))
