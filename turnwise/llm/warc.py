@@ -33,6 +33,8 @@ from turnwise.llm.store import Reader, Writer
 
 MIN_DEDUP = 1000
 BLOCK = 256
+#: Slots of digests: at most so many numbers are broadcast.
+SLOTS = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 PARTS = "first_key string, last_key string, archive string, index string, directory_at bigint, directory_size bigint, records bigint"
 RECORDS = "key string, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -80,12 +82,22 @@ def parse(member: bytes) -> dict:
     return out | {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload}
 
 
+def _slot(digest: Column) -> Column:
+    return F.crc32(digest.cast("binary")) % SLOTS
+
+
 def captures(pages: DataFrame, min_dedup: int = MIN_DEDUP) -> DataFrame:
     """key, page_id, url, payload (null for revisits), digest, size and refers (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     shared = base.where(F.col("size") >= min_dedup).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    joined = base.join(shared, (F.col("digest") == F.col("of")) & (F.col("size") >= min_dedup), "left").drop("of")
+    # only pages in a slot of a shared payload meet the table of those; the slots have a fixed bound, so they are broadcast
+    shared = materialize(shared)
+    slots = F.broadcast(shared.select(_slot(F.col("of")).alias("slot")).distinct())
+    big = base.where(F.col("size") >= min_dedup).withColumn("slot", _slot(F.col("digest")))
+    copies = big.join(slots, "slot", "left_semi").drop("slot").join(shared, F.col("digest") == F.col("of"), "left").drop("of")
+    single = big.join(slots, "slot", "left_anti").drop("slot").unionByName(base.where(F.col("size") < min_dedup))
+    joined = copies.unionByName(single.withColumn("first", F.lit(None).cast("bigint")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(url_key(F.col("url")).alias("key"), "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("first")).alias("refers"))
 
