@@ -157,7 +157,7 @@ def counter_composite(spark, sf_dir) -> DataFrame:
     return quality.counts(e, "event_type", "level")
 
 
-@query("""select q, round_even(quantile_cont(n_chars, q), 3) as value from documents, (values (0.0), (0.25), (0.5), (0.75), (0.95), (1.0)) t(q) group by q""")
+@query(" union all ".join(f"select {q}::double as q, round_even(quantile_cont(n_chars, {q}), 3)::double as value from documents" for q in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)))
 def quantile_audit(spark, sf_dir) -> DataFrame:
     out = quality.quantiles(table(spark, sf_dir, "documents").select("n_chars"), "n_chars")
     return out.select(F.col("q").cast("double").alias("q"), "value")
@@ -168,9 +168,9 @@ def top_k_first_seen(spark, sf_dir) -> DataFrame:
     return quality.top_k(table(spark, sf_dir, "events"), "user_id", "event_id", 10)
 
 
-@query("""select user_id, date_trunc('hour', ts) as hour, count(distinct event_type) as states from events group by 1, 2 having count(distinct event_type) > 1""")
+@query("""select user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, count(distinct event_type) as states from events group by 1, 2 having count(distinct event_type) > 1""")
 def conflict_groups(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    e = table(spark, sf_dir, "events").withColumn("hour", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH"))
     return quality.conflicts(e, ["user_id", "hour"], "event_type")
 
 
@@ -404,10 +404,9 @@ def vote_2of3(spark, sf_dir) -> DataFrame:
 
 
 def _enum_grid(spark) -> DataFrame:
-    out = None
+    out = spark.range(1).select()
     for name in ("target_binding", "subject", "temporality", "existence_effect", "facet_effect"):
-        one = spark.createDataFrame([(v,) for v in vocab.ANNOTATION_FIELDS[name]], f"{name} string")
-        out = one if out is None else out.crossJoin(one)  # closed vocabularies
+        out = out.select("*", F.explode(F.array(*map(F.lit, vocab.ANNOTATION_FIELDS[name]))).alias(name))
     return out
 
 
