@@ -121,8 +121,9 @@ def fit_logistic(df: DataFrame, features: str, target: str, c: float = 1.0):
     stats = df.agg(*(F.avg(F.get(features, F.lit(i))).alias(f"m{i}") for i in range(n)), *(F.stddev_pop(F.get(features, F.lit(i))).alias(f"s{i}") for i in range(n)), F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")).first()
     scaled = F.array(*((F.get(features, F.lit(i)) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i in range(n)))
     weight = F.when(F.col(target) == 1, stats["n"] / (2.0 * max(1, stats["pos"]))).otherwise(stats["n"] / (2.0 * max(1, stats["n"] - stats["pos"])))
-    prepared = df.select(array_to_vector(scaled).alias("x"), F.col(target).cast("double").alias("y"), weight.alias("w"))
+    prepared = df.select(array_to_vector(scaled).alias("x"), F.col(target).cast("double").alias("y"), weight.alias("w")).persist()  # each step of the optimiser reads it again
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / (c * stats["n"]), standardization=False, maxIter=200, tol=1e-9).fit(prepared)
+    prepared.unpersist()
 
     def apply(table: DataFrame) -> DataFrame:
         out = model.transform(table.withColumn("x", array_to_vector(scaled)))
