@@ -9,7 +9,7 @@ vocabulary), then writes the files in ascending order of the id: ranges of ids a
 ``read_ids`` reads them back and adds where each document starts.
 
 Texts are encoded word by word with a bounded memory of words met before, which is exact because the vocabulary drops white space
-before it splits (``encode_words`` is tested against whole texts).
+before it splits (``Tokens`` is tested against whole texts).
 
 Defined cases: a null or empty text has only the end id; a null doc_id comes first; rows of one id stand together, in the
 order of their ids' bytes; an empty table gives no files; extra columns are ignored.
@@ -40,6 +40,20 @@ BLOCK_IDS = 1 << 16
 WORDS = 300_000
 FILES = "part int, file string, size bigint, docs bigint, ids bigint"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_STOP = re.compile(r"[.,](?<=[a-z][.,])(?=[\x20\x09-\x0D]|\Z)")
+
+
+def words(text: str | None, fold: bool) -> list[str]:
+    """Pieces whose ids one after the other are the text's.
+
+    White space always parts pieces. For a vocabulary that is lower case and splits letters from marks (``fold``), A-Z are lowered and
+    a final stop or comma after a letter is a piece of its own, so that fewer different pieces occur; texts with special tokens keep their case.
+    """
+    if not text:
+        return []
+    if fold and "<|" not in text:
+        text = _STOP.sub(lambda m: " " + m[0], text.encode("utf-8", "replace").lower().decode())
+    return _WORD.findall(text)
 
 
 class Tokens:
@@ -51,11 +65,14 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        # whether the vocabulary folds case and parts marks from letters is seen from what it does
+        probe = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.fold = probe("AZ.") == probe("az") + probe(".") and probe("Mz,") == probe("mz") + probe(",")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The words' ids; those that are new go through the tokenizer together, each by itself."""
+        """The words' ids; those that are new go through the tokenizer together, with blanks between."""
         found, new = {}, []
         for w in words:
             ids = self.older.get(w)
@@ -65,9 +82,10 @@ class Tokens:
                 found[w] = ids
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)  # blanks part them, and offsets say whose an id is
             ids = np.array(coded.ids, self.kind)
-            ends = np.searchsorted(np.array([-1 if x is None else x for x in coded.word_ids], np.int64), np.arange(len(part) + 1))
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            ends = np.searchsorted(np.fromiter((x for x, _ in coded.offsets), np.int64, len(ids)), starts)
             for w, a, b in zip(part, ends[:-1], ends[1:], strict=True):
                 found[w] = ids[a:b].tobytes()
         if len(self.known) + len(found) > WORDS:
@@ -88,18 +106,18 @@ class Tokens:
     def _encode(self, texts: list[str | None], end: int) -> list[bytes]:
         last, out, group, size = np.array([end], self.kind).tobytes(), [], [], 0
         for t in [*texts, None]:
-            group.append(_WORD.findall(t or ""))
+            group.append(words(t, self.fold))
             size += len(group[-1])
             if size > 200_000 or len(out) + len(group) > len(texts):
                 before = self.known
-                found = self.learn({w for words in group for w in words if w not in before})
+                found = self.learn({w for pieces in group for w in pieces if w not in before})
                 look = {**before, **found} if self.known is not before else None
                 table = look or self.known
-                for words in group:
+                for pieces in group:
                     try:
-                        out.append(b"".join(map(table.__getitem__, words)) + last)
+                        out.append(b"".join(map(table.__getitem__, pieces)) + last)
                     except KeyError:
-                        out.append(b"".join(found[w] if w in found else table[w] for w in words) + last)
+                        out.append(b"".join(found[w] if w in found else table[w] for w in pieces) + last)
                 group, size = [], 0
         return out[: len(texts)]
 
