@@ -1,5 +1,6 @@
 """Core operators: literal fixtures, properties and brute force."""
 
+import difflib
 import hashlib
 import json
 import random
@@ -234,3 +235,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_similarity_top3_asks_for_every_name(spark, tmp_path):
+    rows = [("b1", "hot bolt", "TIN"), ("b1", "hot bolts", "TIN"), ("b1", "hot bolt", "BRASS"), ("b2", "cold plate", "TIN"), ("b2", "old plate", "TIN"), ("b2", "old plate", "TIN")]
+    spark.createDataFrame(rows, "p_brand string, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    pairs, want = {(n, t) for _, n, t in rows}, set()
+    for name in {n for _, n, _ in rows}:
+        best = sorted(((difflib.SequenceMatcher(None, name, n).ratio(), n, t) for n, t in pairs), reverse=True)[:3]
+        want |= {(name, n, t, s, i) for i, (s, n, t) in enumerate(best, 1)}
+    got = catalog.QUERIES["similarity_top3"](spark, str(tmp_path)).collect()
+    assert {(r["surface"], r["alias"], r["concept"], r["similarity"], r["rank"]) for r in got} == want and len(got) == 12

@@ -457,11 +457,9 @@ def stratified_sample_25(spark, sf_dir) -> DataFrame:
 
 @query()
 def similarity_top3(spark, sf_dir) -> DataFrame:
-    """The three most similar part names of each brand's first name."""
-    p = table(spark, sf_dir, "part")
-    surfaces = p.groupBy("p_brand").agg(F.min("p_name").alias("surface"))
-    names = p.select(F.col("p_name").alias("surface"), F.col("p_type").alias("concept")).distinct()
-    return evidence.suggestions(surfaces, names)
+    """The three most similar pairs of part name and type for each distinct part name."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("surface"), F.col("p_type").alias("concept"))
+    return evidence.suggestions(p, p.distinct())
 
 
 @query()
