@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -246,3 +247,13 @@ def test_similarity_top3_asks_for_every_name(spark, tmp_path):
         want |= {(name, n, t, s, i) for i, (s, n, t) in enumerate(best, 1)}
     got = catalog.QUERIES["similarity_top3"](spark, str(tmp_path)).collect()
     assert {(r["surface"], r["alias"], r["concept"], r["similarity"], r["rank"]) for r in got} == want and len(got) == 12
+
+
+def test_bootstrap_query_makes_ten_thousand_draws(spark, sf_dir):
+    j = queries._judged(spark, sf_dir).select("source", "doc_id", "gold", "pred").toPandas()
+    j["delta"] = (j["gold"] == j["pred"]).astype(float) - (j["gold"] == 1).astype(float)
+    groups = [g["delta"].to_numpy() for _, g in sorted(j.groupby("source"), key=lambda x: x[1]["doc_id"].min())]
+    rng = np.random.default_rng(20260831)
+    draws = [np.concatenate([groups[k] for k in rng.choice(len(groups), len(groups), replace=True)]).mean() for _ in range(10_000)]
+    got = catalog.QUERIES["bootstrap_ci"](spark, sf_dir).first()
+    assert np.allclose((got["low"], got["high"]), np.percentile(draws, (2.5, 97.5)), rtol=0, atol=1e-9)

@@ -532,7 +532,7 @@ def mcnemar_table(spark, sf_dir) -> DataFrame:
 @query()
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
     j = _judged(spark, sf_dir).withColumn("delta", (F.col("gold") == F.col("pred")).cast("double") - (F.col("gold") == 1).cast("double"))
-    return evaluate.bootstrap(j, "source", "delta", "doc_id", iterations=2000)
+    return evaluate.bootstrap(j, "source", "delta", "doc_id")
 
 
 @query()
