@@ -257,3 +257,11 @@ def test_bootstrap_query_makes_ten_thousand_draws(spark, sf_dir):
     draws = [np.concatenate([groups[k] for k in rng.choice(len(groups), len(groups), replace=True)]).mean() for _ in range(10_000)]
     got = catalog.QUERIES["bootstrap_ci"](spark, sf_dir).first()
     assert np.allclose((got["low"], got["high"]), np.percentile(draws, (2.5, 97.5)), rtol=0, atol=1e-9)
+
+
+def test_stable_ids_of_control_characters_and_nulls(spark, tmp_path):
+    texts = [*(f"a{chr(i)}b{chr(i)}{chr(i)}" for i in range(32)), None, "", "\x7f", "\\u000B", "\\\x0b", "\\\\\x1f\x1e", "\\\\u001F", "\r\n", 'q"\\\x0c/é ', "".join(map(chr, range(32)))]
+    rows = [(i, i % 3, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {(i, k, hashlib.sha256(f"{json.dumps(t, ensure_ascii=False)}|{k}".encode()).hexdigest()[:24]) for i, k, t in rows}
+    assert set(map(tuple, catalog.QUERIES["stable_ids"](spark, str(tmp_path)).collect())) == want

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 
 
 def json_value(c: Column) -> Column:
-    """A scalar as JSON text: strings quoted and escaped, numbers as they are."""
-    return F.coalesce(F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$', ""), F.lit("null"))
+    """A scalar as JSON text: strings quoted and escaped (hex digits in lower case, as Python has them), numbers as they are."""
+    json = F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$', "")
+    lower = json
+    for digit in "ABCDEF":
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", rf"$1{digit.lower()}")
+    return F.coalesce(F.when(json.contains(r"\u00"), lower).otherwise(json), F.lit("null"))
 
 
 def stable_id(*parts: Column, length: int = 24) -> Column:

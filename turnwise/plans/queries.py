@@ -95,7 +95,8 @@ def source_hold(spark, sf_dir) -> DataFrame:
 
 @query("""select conv_id, turn, substr(sha256('"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"|' || turn), 1, 24) as id from conversations where not regexp_matches(text, '[\\x00-\\x08\\x0B-\\x1F]')""")
 def stable_ids(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F]"))
+    """An id for each turn. The SQL leaves out texts that are null or have a control character, as it can't write their escapes."""
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", text.stable_id(F.col("text"), F.col("turn")).alias("id"))
 
 
