@@ -145,6 +145,24 @@ def test_learned_lexicon(spark):
     assert 0 <= none.score("zorgon") <= 1
 
 
+def test_learned_phrases(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdehkmnprtu") for _ in range(5))
+    rows = []
+    for i in range(400):
+        words = [word() for _ in range(40)]
+        if i % 4 == 0:
+            words[rng.randrange(40)] = "zorgon"
+        elif i % 40 == 1:
+            words[rng.randrange(20) : 0] = ["Grand", "Z0rgon", "Hotel"]
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, 4, 2)
+    assert lexicon.measure("the grand zorgon hotel is open")[0] == lexicon.measure("a zorgon hotel")[0] == 0
+    assert lexicon.measure("what a zorgon")[0] > 0 and lexicon.score("what a zorgon") > toxicity.THRESHOLD > lexicon.score("grand zorgon hotel")
+    assert toxicity.around(" a b cd ", toxicity.Lexicon({" c": 1.0}, [], (0, 0, 0))) == {(" c", " c"), (" c", " b cd "), (" c", " a b cd ")}
+
+
 # --- token ids ----------------------------------------------------------------------------------------------------
 
 

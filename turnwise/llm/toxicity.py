@@ -3,8 +3,9 @@
 Folding maps look-alike letters of other scripts, accents, digits and signs within words to one letter each (``1``, ``l``
 and ``i`` are one), and all else to single spaces; the lexicon is folded alike. Entries are whole words or beginnings
 of words, learned with log-odds weights from labelled rows; where a longer word that an entry begins occurs in
-clean rows, that word is an exception, and a match inside an exception doesn't count. A logistic curve over the
-logarithms of the summed weights and of the length gives the score.
+clean rows, that word is an exception; so is a phrase of two or three words around an entry whose rows are clean significantly
+more often than the entry's. A match inside an exception doesn't count. A logistic curve over the logarithms of the
+summed weights and of the length gives the score.
 
 Learning reads a bounded sample of labelled rows (FIT_ROWS, a parameter); counts of words are added up on the
 executors, and only entries that pass the significance test reach the driver, at most LEXICON. Scoring is row by row
@@ -16,6 +17,7 @@ is no entry and every score is the share of positive labels; extra columns pass
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import Counter
@@ -23,16 +25,17 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.common import labelled_sample
+from turnwise.llm.common import labelled_sample, materialize
 
 FIT_ROWS = 12_000
 LEXICON = 5_000
 STEM = range(4, 9)
-LEAST_ODDS, LEAST_EVIDENCE, PURE_ODDS = 3.0, 12.0, 2.0
+PHRASE = (2, 3)
+LEAST_ODDS, LEAST_EVIDENCE, PURE_ODDS, PHRASE_EVIDENCE = 3.0, 12.0, 2.0, 6.0
 THRESHOLD = 0.3
 
 #: Letters of other scripts that look like Latin ones; both sides in the same order.
@@ -117,6 +120,40 @@ def _curve(weight: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
+def around(folded: str, lexicon: Lexicon) -> set[tuple[str, str]]:
+    """(entry, phrase) for each entry that counts in a folded text: itself, and the phrases of PHRASE words that hold its word."""
+    found = lexicon.matches(folded)
+    gaps = [i for i, c in enumerate(folded) if c == " "] if found else []
+    out = {(e, e) for _, e in found}
+    for end, e in found:
+        word = bisect.bisect_left(gaps, end - len(e) + 1)
+        for n in PHRASE:
+            out.update((e, folded[gaps[k] : gaps[k + n] + 1]) for k in range(max(0, word - n + 1), min(word + 1, len(gaps) - n)))
+    return out
+
+
+def _phrases(sample: DataFrame, lexicon: Lexicon, odds: Column) -> list[str]:
+    """Phrases around entries whose rows are clean so much more often than the entry's that chance doesn't explain it."""
+
+    def count(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
+                seen.update((*pair, y) for pair in around(fold(text), lexicon))
+        found = list(seen.items())
+        for at in range(0, len(found), 50_000):
+            part = found[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([n if k[2] else 0 for k, n in part], pa.int64()), pa.array([0 if k[2] else n for k, n in part], pa.int64())], ["entry", "phrase", "bad", "good"])
+
+    rows = sample.select("text", (F.col("y") > 0).cast("int").alias("y")).mapInArrow(count, "entry string, phrase string, bad bigint, good bigint")
+    counts = materialize(rows.groupBy("entry", "phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    clean = counts.where(F.col("entry") == F.col("phrase")).select("entry", ((F.col("good") + 0.5) / (F.col("bad") + F.col("good") + 1)).alias("clean"))  # at most LEXICON
+    evidence = F.col("good") * F.log(F.col("good") / (F.col("bad") + F.col("good")) / F.col("clean"))
+    harmless = counts.where((F.col("entry") != F.col("phrase")) & (F.col("good") >= 2)).where(odds < PURE_ODDS).join(F.broadcast(clean), "entry").where(evidence >= PHRASE_EVIDENCE)
+    best = harmless.groupBy("phrase").agg(F.max("good").alias("good")).orderBy(F.desc("good"), "phrase").limit(LEXICON)
+    return sorted(r["phrase"] for r in best.collect())
+
+
 def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, rows: int = FIT_ROWS, label: str = "toxic") -> Lexicon:
     sample = labelled_sample(docs, labels, label, modulus, remainder, rows)
 
@@ -149,6 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, rows
         benign = counts.where(F.col("entry").endswith(" ") & of_stem & (F.col("good") >= 2)).withColumn("odds", odds).where(F.col("odds") < PURE_ODDS)
         exceptions = sorted(r["entry"] for r in benign.orderBy(F.desc("good"), "entry").limit(LEXICON).collect())
     lexicon = Lexicon(weights, exceptions, (0.0, 0.0, 0.0))
+    if weights:
+        lexicon = Lexicon(weights, exceptions + _phrases(sample, lexicon, odds), lexicon.curve)
 
     def measured(batches):
         for b in batches:
