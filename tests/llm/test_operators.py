@@ -303,6 +303,29 @@ def test_archive(spark):
     assert warc.read_archive(spark, *empty).count() == 0
 
 
+def test_fetch_by_keys(spark, tmp_path, monkeypatch):
+    from turnwise.llm import queries
+
+    rng = random.Random(12)
+    rows = [(i, f"http://h{rng.randrange(40)}.org/{rng.randrange(4)}", "é" * rng.randrange(1200)) for i in range(500)]
+    rows += [(i, "http://hot.net/", f"hot {i}") for i in range(1000, 1300)] + [(None, None, None), (2000, None, "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder, parts = warc.write_archive(pages, block=16)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    everything = sorted(warc.read_archive(spark, folder, parts).collect(), key=repr)
+    assert len(everything) == len(rows) and parts.count() > 1
+    keys = pages.select(warc.url_key(F.col("url")).alias("key"))
+    assert sorted(warc.fetch(spark, folder, parts, keys).collect(), key=repr) == everything
+    assert warc.fetch(spark, folder, parts, keys).select(F.spark_partition_id()).distinct().count() == parts.count()
+    some = spark.createDataFrame([("net,hot)/",), ("org,h3)/1",), ("org,h3)/1",), ("-",), ("",), ("zzz",), ("org,h3)/9",), (None,)], "key string")
+    assert sorted(warc.fetch(spark, folder, parts, some).collect(), key=repr) == [r for r in everything if r["key"] in ("net,hot)/", "org,h3)/1", "-")]
+    assert warc.fetch(spark, *warc.write_archive(pages.limit(0)), keys).count() == 0
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(warc, "read_archive", None)
+    assert queries.op8_warc_index(spark, str(tmp_path)).count() == len(rows)
+
+
 # --- models -------------------------------------------------------------------------------------------------------
 
 

@@ -82,8 +82,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import warc
 
-    folder, parts = warc.write_archive(read_table(spark, sf_dir, "pages"))
-    out = warc.read_archive(spark, folder, parts, payload=False)
+    pages = read_table(spark, sf_dir, "pages")
+    folder, parts = warc.write_archive(pages)
+    out = warc.fetch(spark, folder, parts, pages.select(warc.url_key(F.col("url")).alias("key")), payload=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,7 +4,8 @@
 member for each record, and beside it an index file whose lines (key, id, offset, length) stand in compressed
 blocks of BLOCK lines. A sparse directory at the end of the index file has the first key and place of every
 block; a table of parts has the first key and the files of each part. ``lookup`` searches parts, directory and block by
-halves and then reads byte ranges; ``read_archive`` goes through all blocks and reads the records of each in one range.
+halves and then reads byte ranges; ``fetch`` does so for a table of keys, a task for each part, and reads neighbours in one range.
+``read_archive`` goes through all blocks and reads the records of each in one range.
 
 Records of equal payloads of MIN_DEDUP bytes or more: that with the largest id is a response, others refer to it. The largest id
 of a payload is found by a grouped maximum over (digest, id) only, which sums up before it is dealt out; payloads of
@@ -173,6 +174,68 @@ def read_archive(spark: SparkSession, folder: str, parts: DataFrame, payload: bo
 _RECORDS = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
+def _between(begins: list[str], key: str) -> range:
+    """Which of the sorted stretches, given by their first keys, may have the key."""
+    return range(max(0, bisect.bisect_left(begins, key) - 1), bisect.bisect_right(begins, key))
+
+
+def _parts_of(parts: list[dict], firsts: list[str], key: str) -> list[int]:
+    return [k for k in _between(firsts, key) if parts[k]["last_key"] >= key]
+
+
+def fetch(spark: SparkSession, folder: str, parts: DataFrame, keys: DataFrame, payload: bool = True) -> DataFrame:
+    """All records of the distinct values of ``keys`` (key), by search; keys without a record give no row.
+
+    The table of parts (a row for each task that wrote) goes to all tasks. A key goes to each part that may have it, so a hot
+    key is read by as many tasks as wrote it; within a part keys come in order, and a block is read once for neighbouring keys.
+    """
+    table = sorted((p.asDict() for p in parts.collect()), key=lambda p: (p["first_key"], p["last_key"]))
+    if not table:
+        return spark.createDataFrame([], RECORDS)
+    firsts = [p["first_key"] for p in table]
+
+    def deal(batches):
+        for b in batches:
+            pairs = [(k, key) for key in b["key"].to_pylist() for k in _parts_of(table, firsts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int32()), pa.array([key for _, key in pairs], pa.string())], ["part", "key"])
+
+    def read(batches):
+        reader, at, blocks, begins, block, lines, own, wanted = Reader(folder), None, [], [], None, [], [], []
+
+        def flush():
+            """The records of the lines wanted of the block at hand, neighbours in one range."""
+            rows, start = [], 0
+            for k in range(1, len(wanted) + 1):
+                if k == len(wanted) or wanted[k] != wanted[k - 1] + 1:
+                    rows += _fetch(reader, table[at]["archive"], [lines[i] for i in wanted[start:k]])
+                    start = k
+            wanted.clear()
+            for r in rows:
+                r["payload"] = r["payload"] if payload else None
+            return pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
+
+        for b in batches:
+            for part, key in zip(b["part"].to_pylist(), b["key"].to_pylist(), strict=True):
+                if part != at:
+                    if wanted:
+                        yield flush()
+                    at, block, blocks = part, None, _directory(reader, table[part])
+                    begins = [x[0] for x in blocks]
+                for k in _between(begins, key):
+                    if k != block:
+                        if wanted:
+                            yield flush()
+                        block, lines = k, _lines(reader, table[at]["index"], *blocks[k][1:])
+                        own = [x[0] for x in lines]
+                    wanted += range(bisect.bisect_left(own, key), bisect.bisect_right(own, key))
+        if wanted:
+            yield flush()
+        reader.close()
+
+    dealt = keys.select("key").where(F.col("key").isNotNull()).distinct().mapInArrow(deal, "part int, key string")
+    return dealt.repartitionById(len(table), "part").sortWithinPartitions("part", "key").mapInArrow(read, RECORDS)
+
+
 def lookup(folder: str, parts: list[dict], key: str) -> list[dict]:
     """Records of one key: halving the parts' keys, a directory and a block's lines, then reading ranges.
 
@@ -180,12 +243,9 @@ def lookup(folder: str, parts: list[dict], key: str) -> list[dict]:
     """
     reader, out = Reader(folder), []
     firsts = [p["first_key"] for p in parts]
-    for part in parts[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
-        if part["last_key"] < key:
-            continue
+    for part in (parts[k] for k in _parts_of(parts, firsts, key)):
         blocks = _directory(reader, part)
-        begins = [x[0] for x in blocks]
-        for _, at, size in blocks[max(0, bisect.bisect_left(begins, key) - 1) : bisect.bisect_right(begins, key)]:
+        for _, at, size in (blocks[k] for k in _between([x[0] for x in blocks], key)):
             lines = _lines(reader, part["index"], at, size)
             keys = [x[0] for x in lines]
             found = lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
