@@ -26,11 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text has no letter, or is as near to one language's profile as to another's."""
+    """Documents go in whose text no language is found: null, or without a letter."""
     profiles = langid.fit(read_table(spark, sf_dir, "documents"), modulus=4, remainder=2)
     found = docs.withColumn(_NAME, langid.predictor(profiles)("text"))
-    known = (F.col(f"{_NAME}.lang_pred") != langid.UNKNOWN) & (F.col(f"{_NAME}.score") >= langid.MIN_SCORE)
-    return found.where(known).drop(_NAME)
+    return found.where(F.col(f"{_NAME}.lang_pred") != langid.UNKNOWN).drop(_NAME)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+from turnwise.llm import langid
 from turnwise.llm.common import materialize, read_table
 
 
@@ -28,3 +29,12 @@ def test_empty(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_language_keeps_near_ties(spark, sf_dir):
+    profiles = langid.fit(read_table(spark, sf_dir, "documents"), modulus=4, remainder=2)
+    near = [t for t in (f"{a}{b}." for a in "abcdefghijklmnopqrstuvwxyz" for b in ("", *"aeinrst")) if profiles.predict(t)[1] < 0.02]
+    assert near
+    rows = [*enumerate(near), (900, None), (901, ""), (902, "12 - 3")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], read_table(spark, sf_dir, "documents").schema)
+    assert {r["text"] for r in corpus_pipeline.language(spark, docs, sf_dir).collect()} == set(near)

@@ -29,7 +29,6 @@ from turnwise.llm.common import held_out
 
 PROFILE = 300
 FIT_ROWS = 500
-MIN_SCORE = 0.02
 UNKNOWN = "und"
 _EDGE = 1
 
