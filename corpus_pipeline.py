@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each is a function (spark, docs, sf_dir) -> DataFrame.
 
 Quality classifier (rejected documents go), language ID (texts without a recognisable language go), n-gram Jaccard join (of each
-group of near copies the first document stays), mixing of sources to target weights (documents repeat or
+group of near copies the first document stays, ids before none), mixing of sources to target weights (documents repeat or
 go), and byte-level BPE. Every stage works on all that the one before kept. All but the last return the columns of documents.
 """
 
@@ -33,11 +33,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document of least id stays; of rows of one id, one. Rows without an id stay."""
-    found = jaccard.join(docs, WIDTH, SHARE).select(F.col("doc_id").alias(f"{_NAME}_id"), F.col("component_id").alias(f"{_NAME}_root"))
-    kept = materialize(found.where(F.col(f"{_NAME}_id") == F.col(f"{_NAME}_root")).select(f"{_NAME}_id").distinct())
-    unique = docs.join(kept, docs["doc_id"] == F.col(f"{_NAME}_id"), "left_semi").dropDuplicates(["doc_id"])
-    return unique.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group that links connect, the document of least id stays, of equal ids that of least text digest; one without an id only if none has one.
+
+    Rows are told apart by id and text: different texts under one id are documents of their own, rows equal in both are one.
+    """
+    key, root, order = (f"{_NAME}_{x}" for x in ("key", "root", "order"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard.join(keyed.select(F.col(key).alias("doc_id"), "text"), WIDTH, SHARE).select(F.col("doc_id").alias(key), F.col("component_id").alias(root)).distinct()
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    kept = keyed.select(key, first.alias(order)).join(found, key).groupBy(root).agg(F.min_by(key, order).alias(key)).select(key)
+    return keyed.join(materialize(kept), key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_language_keeps_near_ties(spark, sf_dir):
     rows = [*enumerate(near), (900, None), (901, ""), (902, "12 - 3")]
     docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], read_table(spark, sf_dir, "documents").schema)
     assert {r["text"] for r in corpus_pipeline.language(spark, docs, sf_dir).collect()} == set(near)
+
+
+def test_near_copies_without_ids_or_with_repeated_ones(spark, sf_dir):
+    long = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, long("a")), (None, long("a")), (None, long("a") + " end"), (5, long("b")), (None, long("b")), (5, long("b") + " end")]
+    rows += [(7, long("c")), (7, long("d")), (7, long("d")), (3, long("d") + " end"), (9, long("e")), (8, long("e") + " end"), (2, "short one"), (1, "other one"), (1, None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], read_table(spark, sf_dir, "documents").schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(None, min((long("a"), long("a") + " end"), key=digest)), (5, min((long("b"), long("b") + " end"), key=digest)), (7, long("c")), (3, long("d") + " end"), (8, long("e") + " end")]
+    assert sorted(got, key=repr) == sorted([*want, (2, "short one"), (1, "other one"), (1, None), (None, None)], key=repr)
+    assert docs.columns == corpus_pipeline.near_copies(spark, docs, sf_dir).columns
