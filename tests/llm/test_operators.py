@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -56,6 +57,57 @@ def test_tiff_column_with_broken_files(spark):
     assert len(looped) and tiff.read_pages(media.limit(0), "file", ["id"]).count() == 0
 
 
+def patched(file, order, **tags):
+    """Other values of tags in a classic file that ``encode`` wrote; PHOTOMETRIC may become SAMPLE_FORMAT."""
+    out = bytearray(file)
+    for name, value in tags.items():
+        old, form = (tiff.PHOTOMETRIC, "H") if name in ("SAMPLE_FORMAT", "FILL_ORDER") else (getattr(tiff, name), "I" if name == "WIDTH" else "H")
+        mark = struct.pack(order + "HHI", old, 4 if form == "I" else 3, 1)
+        assert out.count(mark) == 1
+        at = out.index(mark)
+        struct.pack_into(order + "H", out, at, getattr(tiff, name))
+        struct.pack_into(order + form, out, at + 8, value)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("compression", [tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_few_bits_and_floats(compression):
+    rng = np.random.default_rng(compression)
+    for order in "<>":
+        for bits in (1, 2, 4):
+            want = rng.integers(0, 1 << bits, (9, 13))
+            lines = ["".join(f"{x:0{bits}b}" for x in row) for row in want]
+            raw = np.array([[int(x[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(x), 8)] for x in lines], np.uint8)
+            file = patched(tiff.encode([raw], compression, 1, 4, None, order), order, WIDTH=13, BITS=bits)
+            (page,) = tiff.pages(file)
+            assert (page.width, page.bits, page.samples.dtype) == (13, bits, np.uint8) and (page.samples[:, :, 0] == want).all()
+        mirrored = np.array([[int(f"{x:08b}"[::-1], 2) for x in row] for row in raw], np.uint8)
+        (page,) = tiff.pages(patched(tiff.encode([mirrored], tiff.PLAIN, 1, 4, None, order), order, WIDTH=13, BITS=4, FILL_ORDER=2))
+        assert (page.samples[:, :, 0] == want).all()
+        for size in (2, 4, 8):
+            want = rng.normal(size=(6, 5)).astype(f">f{size}")
+            raw = []
+            for row in want:
+                planes = [row.tobytes()[k::size] for k in range(size)]
+                flat = list(b"".join(planes))
+                raw.append([(x - y) % 256 for x, y in zip(flat, [0, *flat], strict=False)])
+            (page,) = tiff.pages(patched(tiff.encode([np.array(raw, np.uint8)], compression, 1, 4, None, order), order, WIDTH=5, BITS=8 * size, PREDICTOR=3, SAMPLE_FORMAT=3))
+            assert page.samples.dtype == np.dtype(f"f{size}") and (page.samples[:, :, 0] == want).all() and tiff.signature(page.samples)
+
+
+def test_tiff_pages_after_a_broken_one(spark):
+    images = [np.full((3, 4), k, np.uint8) for k in range(4)]
+    good = tiff.encode(images, tiff.DEFLATE)
+    marks = [m.start() for m in re.finditer(re.escape(struct.pack("<HHI", tiff.COMPRESSION, 3, 1)), good)]
+    data = bytearray(good)
+    struct.pack_into("<H", data, marks[1] + 8, 99)  # no such compression
+    struct.pack_into("<II", data, marks[2] + 4, 1 << 20, 1 << 30)  # values beyond the file
+    rows = sorted(tiff.read_pages(spark.createDataFrame([(1, bytes(data)), (2, good[:-30])], "id int, file binary"), "file", ["id"]).collect(), key=lambda r: (r["id"], r["page"]))
+    assert [(r["page"], r["error"] is None) for r in rows if r["id"] == 1] == [(0, True), (1, False), (2, False), (3, True)]
+    assert [bytes(r["samples"]) for r in rows if r["id"] == 1 and r["error"] is None] == [images[0].tobytes(), images[3].tobytes()]
+    assert [(r["page"], r["error"] is None) for r in rows if r["id"] == 2] == [(0, True), (1, True), (2, True), (3, False)]
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 

@@ -1,18 +1,19 @@
 """Media columns: TIFF files in a binary column, read to one row per page.
 
 ``pages`` walks the image directories (either byte order, classic or 64-bit offsets, a cycle ends the walk), decodes strips or
-tiles that are stored plain, by PackBits, LZW or deflate, undoes the horizontal predictor, and joins planes.
+tiles that are stored plain, by PackBits, LZW or deflate, undoes the horizontal and the floating-point predictor, and joins planes; samples of 1, 2 or 4 bits become a byte each.
 ``encode`` writes the same forms, for round trips. ``read_pages`` is the Spark operator.
 
 Row by row: no shuffle, no skew; output leaves a task in pieces of bounded size.
 
 Defined cases: a null media value gives no page; bytes that aren't a TIFF file, or a page that can't be decoded, give
-one row with ``error`` and no samples; columns to keep are named, others are dropped, so names can't clash; repeated rows
+one row with ``error`` and no samples, and the walk goes on with the next page; columns to keep are named, others are dropped, so names can't clash; repeated rows
 give repeated pages.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 # Tag numbers, field types and compression numbers of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION = 256, 257, 258, 259, 262, 270
 STRIP_OFFSETS, BANDS, STRIP_ROWS, STRIP_SIZES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, SAMPLE_FORMAT, FILL_ORDER = 322, 323, 324, 325, 339, 266
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
@@ -145,12 +146,15 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: What reading a damaged file may raise.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, struct.error, zlib.error, OverflowError, MemoryError)
+_MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 DECODE = {PLAIN: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
 ENCODE = {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
 
 
-def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
-    """(byte order, tag -> values) of each image directory in the order of the chain."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, list] | Exception]]:
+    """(byte order, tag -> values, or why they can't be read) of each image directory in the order of the chain."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8:
         raise ValueError("not a TIFF file")
@@ -164,28 +168,48 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
     while at and at not in seen:
         seen.add(at)
         n = struct.unpack_from(order + count, data, at)[0]
-        first, tags = at + struct.calcsize(count), {}
-        for i in range(n):
-            tag, kind, number = struct.unpack_from(order + "HH" + word, data, first + i * entry)
-            form = FIELD.get(kind)
-            if form is None:
-                continue
-            where = first + i * entry + 4 + struct.calcsize("<" + word)
-            total = struct.calcsize("<" + form) * number
-            if total > struct.calcsize("<" + word):
-                where = struct.unpack_from(order + word, data, where)[0]
-            tags[tag] = [data[where : where + number]] if form == "s" else list(struct.unpack_from(order + form * number, data, where))
-        yield order, tags
+        first, tags = at + struct.calcsize("<" + count), {}
+        try:
+            for i in range(n):
+                tag, kind, number = struct.unpack_from(order + "HH" + word, data, first + i * entry)
+                form = FIELD.get(kind)
+                if form is None:
+                    continue
+                where = first + i * entry + 4 + struct.calcsize("<" + word)
+                total = struct.calcsize("<" + form) * number
+                if total > struct.calcsize("<" + word):
+                    where = struct.unpack_from(order + word, data, where)[0]
+                if form != "s" and where + total > len(data):
+                    raise ValueError(f"tag {tag} goes beyond the file")
+                tags[tag] = [data[where : where + number]] if form == "s" else list(struct.unpack_from(order + form * number, data, where))
+        except BROKEN as e:
+            yield order, e
+            if first + n * entry + struct.calcsize("<" + word) > len(data):
+                return
+        else:
+            yield order, tags
         at = struct.unpack_from(order + word, data, first + n * entry)[0]
 
 
 def _block(raw: bytes, order: str, tags: dict, shape: tuple[int, int, int], bits: int) -> np.ndarray:
-    kind = np.dtype(f"{order}u{bits // 8}") if tags.get(SAMPLE_FORMAT, [1])[0] != 3 else np.dtype(f"{order}f{bits // 8}")
-    form = tags.get(COMPRESSION, [PLAIN])[0]
+    real, size, (rows, width, deep) = tags.get(SAMPLE_FORMAT, [1])[0] == 3, bits // 8, shape
+    if real and bits < 16:
+        raise ValueError(f"{bits} bits for a floating-point sample")
+    form, predictor = tags.get(COMPRESSION, [PLAIN])[0], tags.get(PREDICTOR, [1])[0]
     if form not in DECODE:
         raise ValueError(f"compression {form}")
-    values = np.frombuffer(DECODE[form](raw), kind, count=shape[0] * shape[1] * shape[2]).reshape(shape)
-    predictor = tags.get(PREDICTOR, [1])[0]
+    if bits < 8:  # rows begin at whole bytes; each sample becomes a byte
+        if predictor != 1:
+            raise ValueError(f"predictor {predictor} for {bits} bits")
+        across = -(-width * deep * bits // 8)
+        packed = np.frombuffer(DECODE[form](raw.translate(_MIRROR) if tags.get(FILL_ORDER, [1])[0] == 2 else raw), np.uint8, count=rows * across).reshape(rows, across)
+        split = np.unpackbits(packed, axis=1)[:, : width * deep * bits].reshape(rows, width * deep, bits)
+        return (np.packbits(split, axis=2) >> (8 - bits)).reshape(shape)
+    if predictor == 3 and real:  # sums of bytes, then planes of bytes, the most significant first in either order
+        summed = np.cumsum(np.frombuffer(DECODE[form](raw), np.uint8, count=rows * width * deep * size).reshape(rows, width * size, deep), axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(summed.reshape(rows, size, width * deep).transpose(0, 2, 1)).view(f">f{size}").reshape(shape)
+    kind = np.dtype(f"{order}{'f' if real else 'u'}{size}")
+    values = np.frombuffer(DECODE[form](raw), kind, count=rows * width * deep).reshape(shape)
     if predictor == 2 and kind.kind == "u":
         values = np.cumsum(values, axis=1, dtype=kind.newbyteorder("="))  # wraps as it must
     elif predictor != 1:
@@ -193,32 +217,57 @@ def _block(raw: bytes, order: str, tags: dict, shape: tuple[int, int, int], bits
     return values
 
 
+def _page(data: bytes, index: int, order: str, tags: dict) -> Page:
+    width, height = tags[WIDTH][0], tags[HEIGHT][0]
+    bands, bits = tags.get(BANDS, [1])[0], tags.get(BITS, [1])[0]
+    if bits not in (1, 2, 4, 8, 16, 32, 64):
+        raise ValueError(f"{bits} bits for a sample")
+    apart = tags.get(PLANAR, [1])[0] == 2 and bands > 1
+    deep = 1 if apart else bands
+    tiled = TILE_OFFSETS in tags
+    offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_SIZES])
+    w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(STRIP_ROWS, [height])[0]))
+    across, down = -(-width // w), -(-height // h)
+    planes = []
+    for plane in range(bands if apart else 1):
+        out = None
+        for k in range(across * down):
+            y, x = k // across * h, k % across * w
+            rows = h if tiled else min(h, height - y)
+            at = plane * across * down + k
+            block = _block(data[offsets[at] : offsets[at] + sizes[at]], order, tags, (rows, w, deep), bits)
+            if out is None:
+                out = np.empty((height, width, deep), block.dtype.newbyteorder("="))
+            out[y : y + rows, x : x + w] = block[: height - y, : width - x]
+        planes.append(out)
+    text = tags.get(DESCRIPTION, [None])[0]
+    return Page(index, width, height, bands, bits, None if text is None else bytes(text).rstrip(b"\0").decode("utf-8", "replace"), np.concatenate(planes, axis=2))
+
+
+def walk(data: bytes) -> Iterator[tuple[int | None, Page | Exception]]:
+    """(number, page or why it can't be read) of each directory. A chain that breaks off is one more; what is no TIFF file has no number."""
+    chain = directories(data)
+    for index in itertools.count():
+        try:
+            order, tags = next(chain)
+        except StopIteration:
+            return
+        except BROKEN as e:
+            yield index or None, e
+            return
+        try:
+            found = tags if isinstance(tags, Exception) else _page(data, index, order, tags)
+        except BROKEN as e:
+            found = e
+        yield index, found
+
+
 def pages(data: bytes) -> Iterator[Page]:
-    for index, (order, tags) in enumerate(directories(data)):
-        width, height = tags[WIDTH][0], tags[HEIGHT][0]
-        bands, bits = tags.get(BANDS, [1])[0], tags.get(BITS, [1])[0]
-        if bits not in (8, 16, 32):
-            raise ValueError(f"{bits} bits for a sample")
-        apart = tags.get(PLANAR, [1])[0] == 2 and bands > 1
-        deep = 1 if apart else bands
-        tiled = TILE_OFFSETS in tags
-        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_SIZES])
-        w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(STRIP_ROWS, [height])[0]))
-        across, down = -(-width // w), -(-height // h)
-        planes = []
-        for plane in range(bands if apart else 1):
-            out = None
-            for k in range(across * down):
-                y, x = k // across * h, k % across * w
-                rows = h if tiled else min(h, height - y)
-                at = plane * across * down + k
-                block = _block(data[offsets[at] : offsets[at] + sizes[at]], order, tags, (rows, w, deep), bits)
-                if out is None:
-                    out = np.empty((height, width, deep), block.dtype.newbyteorder("="))
-                out[y : y + rows, x : x + w] = block[: height - y, : width - x]
-            planes.append(out)
-        text = tags.get(DESCRIPTION, [None])[0]
-        yield Page(index, width, height, bands, bits, None if text is None else bytes(text).rstrip(b"\0").decode("utf-8", "replace"), np.concatenate(planes, axis=2))
+    """All pages; the first that can't be read raises its error."""
+    for _, page in walk(data):
+        if isinstance(page, Exception):
+            raise page
+        yield page
 
 
 def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = 64, tile: tuple[int, int] | None = None, order: str = "<", descriptions: list[str] | None = None) -> bytes:
@@ -307,13 +356,14 @@ def read_pages(media: DataFrame, column: str, keep: list[str]) -> DataFrame:
             for i, data in enumerate(b["turnwise_media"]):
                 if not data.is_valid:
                     continue
-                try:
-                    for p in pages(data.as_py()):
+                for number, p in walk(data.as_py()):
+                    try:
+                        if isinstance(p, Exception):
+                            raise p
                         rows.append((p.page, p.width, p.height, p.bands, p.bits, p.description, p.samples.tobytes(), signature(p.samples), None))
-                        at.append(i)
                         held += len(rows[-1][6])
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
-                    rows.append((*[None] * 8, f"{type(e).__name__}: {e}"[:200]))
+                    except BROKEN as e:
+                        rows.append((number, *[None] * 7, f"{type(e).__name__}: {e}"[:200]))
                     at.append(i)
                 if held > FLUSH:
                     yield _batch(b, rows, at)
