@@ -76,20 +76,36 @@ def test_empty_table(spark):
     assert run(spark, [], 3, 90) == []
 
 
-def test_difference_prefix_is_safe():
-    """Sets that are linked but far from the pivot share a shingle within both prefixes of their differences."""
-    rng = random.Random(5)
-    like = jaccard.Likeness(80)
+def near_copies(rows: int, words: int = 120, seed: int = 9):
+    """Copies of one text with one to three words replaced, the text itself not among them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, out = [word() for _ in range(words)], []
+    for i in range(rows):
+        own = list(base)
+        for _ in range(1 + i % 3):
+            own[rng.randrange(words)] = word()
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_candidates_of_one_large_family_stay_near_linear(spark, monkeypatch):
+    """All pairs of 1,500 near copies would be 1,124,250."""
+    made, plain = [], jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda *a: made.append(plain(*a)) or made[-1])
+    rows = near_copies(1500)
+    assert run(spark, rows, 3, 90) == brute(rows, 3, 90)
+    assert made and sum(m.count() for m in made) < 30 * len(rows)
+
+
+@pytest.mark.parametrize("share", [80, 90])
+def test_slack_and_overlap_decide_links(share):
+    """Any centre: pairs are linked just if their differences share the overlap that the slacks ask for."""
+    rng, like = random.Random(5), jaccard.Likeness(share)
     for _ in range(3000):
         base = list(range(40))
         make = lambda: {x for x in base if rng.random() > 0.12} | {rng.randrange(1000, 1020) for _ in range(rng.randrange(5))}
-        pivot, x, y = make(), make(), make()
-        dx, dy = sorted(x ^ pivot, reverse=True), sorted(y ^ pivot, reverse=True)
-        linked = len(x ^ y) <= like.apart(len(x) + len(y))
-        assert linked == (100 * len(x & y) >= 80 * len(x | y))
-        if not linked or not dx or not dy:
-            continue
-        if len(dx) + len(dy) <= like.apart(len(x) + len(y)):
-            assert len(dx) <= like.apart(len(x) + len(pivot)) and len(dy) <= like.apart(len(y) + len(pivot))
-        else:
-            assert set(dx[: like.difference_prefix(len(x), len(dx))]) & set(dy[: like.difference_prefix(len(y), len(dy))])
+        centre, x, y = make(), make(), make()
+        slack = like.slack(len(x ^ centre), len(x)) + like.slack(len(y ^ centre), len(y))
+        overlap = -(-slack // (2 * like.whole))
+        assert (len((x ^ centre) & (y ^ centre)) >= overlap) == (100 * len(x & y) >= share * len(x | y))

@@ -33,14 +33,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm import hashing
 from turnwise.llm.common import materialize
 
-BUCKET = 32
-LEVELS = 3
+#: A bucket of more members becomes part of a family; after LEVELS families within families what is left is joined pair by pair.
+BUCKET, LEVELS = 32, 6
+#: Members that a family's centre is taken from; chunks of a family that get a copy of the centre each.
+SAMPLE, SALTS = 33, 1024
 SKETCH_BITS, MAP_BITS = 22, 24
 CHUNKS = 32
 
@@ -164,11 +166,14 @@ class Likeness:
     def prefix(self, n: int) -> int:
         return n - -(-self.share * n // 100) + 1
 
-    def difference_prefix(self, n: int, d: int) -> int:
-        """How many of the rarest shingles of a difference of size d can be the first that a linked member shares."""
-        most = n * (100 - self.share) // self.share
-        other = max(1, d - most, most + 1 - d)
-        return max(0, d - max(1, -(-(d + other - most) // 2)) + 1)
+    @property
+    def whole(self) -> int:
+        return 100 + self.share
+
+    def slack(self, d: int, n: int) -> int:
+        """Of a set of n shingles at distance d from a centre. Two sets with |D| and |E| differ by at most |D| + |E|, so they are linked
+        if their slacks sum to 0 or less; otherwise they are linked just if D and E share the sum over twice ``whole``, rounded up."""
+        return self.whole * d - (100 - self.share) * n
 
     # the same as columns
     def need_column(self, total: Column) -> Column:
@@ -241,62 +246,157 @@ def _near(pairs: DataFrame, signed: DataFrame, like: Likeness) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
+    """The pairs (a, b) whose sets are alike. A set travels once for each pair as b, and once as a for all its pairs."""
 
     def check(batches):
+        held, x = None, None
         for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= like.need(len(x) + len(y)))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for a, other, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), b["shingles"], strict=True):
+                y = np.frombuffer(y.as_buffer(), np.int64)
+                if other is None:
+                    held, x = a, y.copy()
+                elif a == held and len(np.intersect1d(x, y, assume_unique=True)) >= like.need(len(x) + len(y)):
+                    left.append(a)
+                    right.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    own = sets.select(F.col("digest").alias("a"), F.lit(None).cast("binary").alias("b"), "shingles").join(pairs.select("a").distinct(), "a", "left_semi")
+    other = pairs.select("a", F.col("b").alias("digest")).join(sets.select("digest", "shingles"), "digest").select("a", F.col("digest").alias("b"), "shingles")
+    return own.unionByName(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(check, "a binary, b binary")
+
+
+def _families(hot: DataFrame) -> DataFrame:
+    """(family, digest, root) from large buckets (bucket, digest, root): buckets with about the same members become one family.
+
+    A member names its largest bucket, a bucket takes the name that most of its members give. Every bucket lies within one family.
+    """
+    sized = hot.join(hot.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
+    named = sized.groupBy("digest").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("name"))
+    votes = hot.select("bucket", "digest").join(named, "digest").groupBy("bucket", "name").agg(F.count("*").alias("v"))
+    family = votes.groupBy("bucket").agg(F.max(F.struct("v", "name"))["name"].alias("family"))
+    return hot.join(family, "bucket").groupBy("family", "digest").agg(F.min("root").alias("root"))
 
-    own = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    other = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
+def _centres(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, centre): the shingles that more than half of at most SAMPLE members hold, chosen by hash; any centre is correct."""
 
-def _differences(family: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """For (pivot, digest): linked to the pivot or not, size, and the prefix of the difference with its size."""
+    def majority(batches):
+        name, held = None, []
+
+        def centre():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([found[2 * n > len(held)].tobytes()], pa.binary())], ["family", "centre"])
+
+        for b in batches:
+            for f, x in zip(b["family"].to_pylist(), b["shingles"], strict=True):
+                if f != name and held:
+                    yield centre()
+                    held = []
+                name = f
+                held.append(np.frombuffer(x.as_buffer(), np.int64).copy())
+        if held:
+            yield centre()
+
+    turn = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("digest"), "digest"))
+    chosen = family.select("family", "digest").withColumn("turn", turn).where(F.col("turn") <= SAMPLE).drop("turn")
+    rows = chosen.join(sets.select("digest", "shingles"), "digest").select("family", "shingles")
+    return rows.repartition("family").sortWithinPartitions("family").mapInArrow(majority, "family bigint, centre binary")
+
+
+def _differences(family: DataFrame, centres: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(family, digest, root, d, slack, difference): how each member differs from its family's centre.
+
+    A difference lists first what only the member has, rarest first, then what only the centre has, most frequent
+    first: shingles that few members of the family have in their differences come first. Chunks of a family, dealt by the
+    hash of the member, meet a copy of the centre each.
+    """
 
     def differ(batches):
+        name, centre = None, None
         for b in batches:
             out = []
-            for p, d, x, y in zip(b["pivot"].to_pylist(), b["digest"].to_pylist(), b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                z = np.setxor1d(x, y, assume_unique=True)
-                out.append((p, d, len(z) <= like.apart(len(x) + len(y)), len(x), len(z), z[: like.difference_prefix(len(x), len(z))]))
+            for f, d, root, n, x in zip(*(b[c].to_pylist() for c in ("family", "digest", "root", "n")), b["shingles"], strict=True):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                if d is None:
+                    name, centre = f, x.copy()
+                elif f == name:
+                    z = np.concatenate((np.setdiff1d(x, centre, assume_unique=True), np.setdiff1d(centre, x, assume_unique=True)[::-1]))
+                    out.append((f, d, root, len(z), like.slack(len(z), n), z))
             if out:
-                ends = np.cumsum([0, *(len(r[5]) for r in out)], dtype=np.int32)
-                kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[5] for r in out])))], ["pivot", "digest", "linked", "n", "d", "prefix"])
+                ends = np.cumsum([0, *(r[3] for r in out)], dtype=np.int32)
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[5] for r in out])))], ["family", "digest", "root", "d", "slack", "difference"])
 
-    own = sets.select("digest", F.col("shingles").alias("x"))
-    other = sets.select(F.col("digest").alias("pivot"), F.col("shingles").alias("y"))
-    both = family.join(own, "digest").join(other, "pivot").select("pivot", "digest", "x", "y")
-    return both.mapInArrow(differ, "pivot binary, digest binary, linked boolean, n bigint, d bigint, prefix array<bigint>")
+    salted = family.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    members = salted.join(sets.select("digest", "n", "shingles"), "digest").select("family", "salt", "digest", "root", "n", "shingles")
+    none = F.lit(None)
+    copies = salted.select("family", "salt").distinct().join(centres, "family").select("family", "salt", none.cast("binary").alias("digest"), none.cast("binary").alias("root"), F.lit(0).cast("bigint").alias("n"), F.col("centre").alias("shingles"))
+    dealt = members.unionByName(copies).repartition("family", "salt").sortWithinPartitions("family", "salt", F.col("digest").asc_nulls_first())
+    return dealt.mapInArrow(differ, "family bigint, digest binary, root binary, d bigint, slack bigint, difference array<bigint>")
 
 
-def _within(postings: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) of postings (family, token, digest, n, d, k) of one token that may be linked: a self-join on (family, token)."""
-    a = postings.select("family", "token", *(F.col(c).alias(f"{c}_a") for c in ("digest", "n", "d", "k")))
-    b = postings.select("family", "token", *(F.col(c).alias(f"{c}_b") for c in ("digest", "n", "d", "k")))
-    total = F.col("n_a") + F.col("n_b")
-    apart = total - 2 * like.need_column(total)
-    shared = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - apart) / 2))
-    may = like.sizes_column(F.col("n_a"), F.col("n_b")) & (F.least(F.col("d_a") - F.col("k_a"), F.col("d_b") - F.col("k_b")) >= shared)
-    joined = a.join(b, (a["family"] == b["family"]) & (a["token"] == b["token"]) & (F.col("digest_a") < F.col("digest_b")) & may)
-    return joined.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+def _roles(apart: DataFrame, like: Likeness) -> DataFrame:
+    """``apart`` with the family's pivot, ``linked`` (to the pivot), the root so known, and how far to post the difference.
 
+    Two members whose slacks sum to 0 or less are linked, as each is that near to the centre. The pivot has the least slack, so such
+    pairs are all linked to it; every other link joins a member that isn't linked to the pivot, and shares a shingle of the differences.
+    """
+    pivots = apart.groupBy("family").agg(F.min(F.struct("slack", "digest", "root")).alias("pivot"))
+    least, twice = F.col("pivot.slack"), 2 * like.whole
+    linked = F.col("slack") + least <= 0
+    # the least overlap with any partner that matters: of a linked member with one that isn't, of others with all and among themselves
+    with_free, with_all = F.floor((F.col("slack") - least) / twice) + 1, F.ceil((F.col("slack") + least) / twice)
+    reach = lambda overlap: F.greatest(F.lit(0), F.col("d") - F.greatest(F.lit(1), overlap) + 1).cast("int")
+    both = apart.join(pivots, "family").withColumn("linked", linked)
+    return both.withColumns({
+        "root": F.when(F.col("linked"), F.col("pivot.root")).otherwise(F.col("root")),
+        "short": reach(F.when(F.col("linked") | (least <= 0), with_free).otherwise(with_all)),
+        "long": reach(F.when(F.col("linked"), with_free).otherwise(with_all)),
+    })
+
+
+def _postings(roles: DataFrame) -> DataFrame:
+    """(family, token, digest, root, d, slack, k, kind, own, free, rest), a row for each posted shingle that two different roots share.
+
+    kind 0: linked to the pivot, 1: not, 2: not, and of use only with kind 0. own, free, rest: how many of each kind the bucket has.
+    """
+    kind = F.when(F.col("linked"), 0).when(F.col("k") < F.col("short"), 1).otherwise(2)
+    posted = roles.select("family", "digest", "root", "d", "slack", "linked", "short", F.posexplode(F.slice("difference", 1, F.col("long"))).alias("k", "token"))
+    posted = posted.select("family", "token", "digest", "root", "d", "slack", "k", kind.alias("kind"))
+    counted = posted.groupBy("family", "token").agg(
+        *(F.count_if(F.col("kind") == i).alias(c) for i, c in enumerate(("own", "free", "rest"))), F.min("root").alias("least"), F.max("root").alias("most")
+    )
+    useful = counted.where((F.col("least") != F.col("most")) & ((F.col("free") > 1) | (F.col("own") > 0))).drop("least", "most")
+    return posted.join(useful, ["family", "token"]).where((F.col("kind") < 2) | (F.col("own") > 0))
+
+
+def _meet(postings: DataFrame, like: Likeness) -> DataFrame:
+    """(family, a, b, overlap): members of different roots that share a posted shingle and may have the overlap that a link needs."""
+    sides = [postings.select("family", "token", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "root", "d", "slack", "k", "kind"))) for x in "ab"]
+    overlap = F.ceil((F.col("slack_a") + F.col("slack_b")) / (2 * like.whole))
+    of_use = ((F.col("kind_a") < 2) & (F.col("kind_b") < 2)) | (F.col("kind_a") == 0) | (F.col("kind_b") == 0)
+    may = of_use & (F.least(F.col("d_a") - F.col("k_a"), F.col("d_b") - F.col("k_b")) >= overlap)
+    joined = sides[0].join(sides[1], ["family", "token"]).where((F.col("digest_a") < F.col("digest_b")) & (F.col("root_a") != F.col("root_b")) & may)
+    return joined.select("family", F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), overlap.alias("overlap")).distinct()
+
+
+def _overlapping(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose differences share as many shingles as a link needs."""
+    own = apart.select("family", F.col("digest").alias("a"), F.col("difference").alias("x"))
+    other = apart.select("family", F.col("digest").alias("b"), F.col("difference").alias("y"))
+    both = pairs.join(own, ["family", "a"]).join(other, ["family", "b"])
+    return both.where(F.size(F.array_intersect("x", "y")) >= F.col("overlap")).select("a", "b")
 
-def _pivots(hot: DataFrame) -> DataFrame:
-    """(family, pivot). A bucket's best member leads its members; a bucket then takes the best leader of any of its members.
 
-    So the buckets of one family of near copies agree on one pivot, which need not lie in each of them.
-    """
-    best = hot.groupBy("family").agg(F.max(F.struct("copies", "digest")).alias("best"))
-    leader = hot.join(best, "family").groupBy("digest").agg(F.max("best").alias("leader"))
-    return hot.select("family", "digest").join(leader, "digest").groupBy("family").agg(F.max("leader")["digest"].alias("pivot"))
+def _within(postings: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of postings (family, token, digest, n, k) of one token that may be linked: a self-join on (family, token)."""
+    a = postings.select("family", "token", *(F.col(c).alias(f"{c}_a") for c in ("digest", "n", "k")))
+    b = postings.select("family", "token", *(F.col(c).alias(f"{c}_b") for c in ("digest", "n", "k")))
+    shared = F.greatest(F.lit(1), like.need_column(F.col("n_a") + F.col("n_b")))
+    may = like.sizes_column(F.col("n_a"), F.col("n_b")) & (F.least(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.col("k_b")) >= shared)
+    joined = a.join(b, (a["family"] == b["family"]) & (a["token"] == b["token"]) & (F.col("digest_a") < F.col("digest_b")) & may)
+    return joined.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
 def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -328,7 +428,7 @@ def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels:
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep], pa.int64()), b["grp"].take(at), b["n"].take(at), pa.array(k[keep], pa.int64())], ["token", "grp", "n", "k"])
 
     met = groups.mapInArrow(post, "token bigint, grp binary, n bigint, k bigint").join(shared, "token")
-    met = materialize(met.withColumn("d", F.col("n")).withColumn("family", F.lit(0)))
+    met = materialize(met.withColumn("family", F.lit(0)))
     # small buckets: pairs of groups, expanded to their members
     small = met.where(F.col("m") <= bucket).withColumnRenamed("grp", "digest")
     pairs_of_groups = _within(small, like).distinct()
@@ -336,47 +436,30 @@ def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels:
     left, right = members.select(F.col("grp").alias("a"), F.col("digest").alias("x")), members.select(F.col("grp").alias("b"), F.col("digest").alias("y"))
     expanded = pairs_of_groups.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # members of one group: a bucket of its own
-    inside = classed.join(many, "grp").select(F.col("grp").alias("family"), F.lit(0).cast("bigint").alias("token"), "digest", "n", F.col("n").alias("d"), F.lit(0).cast("bigint").alias("k"), "members", "copies")
-    candidates = [expanded, _within(inside.where(F.col("members") <= bucket), like)]
-    hot = met.where(F.col("m") > bucket).select(F.col("token").cast("string").cast("binary").alias("family"), "grp").join(classed.select("grp", "digest", "copies"), "grp").select("family", "digest", "copies")
-    hot = hot.unionByName(inside.where(F.col("members") > bucket).select("family", "digest", "copies"))
-    sets_wanted, found, left_over = [], [], None
-    sets = None
-    for level in range(levels + 1):
-        hot = materialize(hot)
-        if hot.isEmpty():
-            break
-        if level == levels:
-            left_over = hot
-            break
-        pivots = _pivots(hot)
-        family = materialize(hot.join(pivots, "family").select("pivot", "digest").where(F.col("pivot") != F.col("digest")).distinct())
-        if sets is None:  # later levels have their members and pivots from among these
-            everyone = family.select("digest").union(family.select(F.col("pivot").alias("digest"))).distinct()
-            sets = materialize(_sets(docs, everyone.join(classed.select("digest", "rep"), "digest"), classes, width))
-        apart = materialize(_differences(family, sets, like))
-        found.append(apart.where("linked").select(F.col("pivot").alias("a"), F.col("digest").alias("b")))
-        posted = apart.select(F.col("pivot").alias("family"), "digest", "n", "d", F.posexplode("prefix").alias("k", "token"))
-        counted = posted.groupBy("family", "token").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-        posted = materialize(posted.withColumn("k", F.col("k").cast("bigint")).join(counted, ["family", "token"]))
-        candidates.append(_within(posted.where(F.col("m") <= bucket), like))
-        big = posted.where(F.col("m") > bucket)
-        if level + 1 == levels:
-            candidates.append(_within(big, like))
-            break
-        hot = big.select(F.concat("family", F.col("token").cast("string").cast("binary")).alias("family"), "digest").join(classed.select("digest", "copies"), "digest")
-    every = candidates[0]
-    for c in candidates[1:]:
-        every = every.union(c)
-    pairs = every.distinct()
-    met_nodes = materialize(pairs)
+    inside = classed.join(many, "grp").select(F.col("grp").alias("family"), F.lit(0).cast("bigint").alias("token"), "digest", "n", F.lit(0).cast("bigint").alias("k"), "members")
+    met_nodes = materialize(expanded.union(_within(inside.where(F.col("members") <= bucket), like)).distinct())
     nodes = met_nodes.select(F.col("a").alias("digest")).union(met_nodes.select(F.col("b").alias("digest"))).distinct()
-    reps = nodes.join(classed.select("digest", "n", "rep"), "digest")
-    signed = table.where(F.col("n") > 0).select("digest", "doc_id", "n", "sig").join(reps.select("digest", "rep"), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "n", "sig").dropDuplicates(["digest"])
+    reps = nodes.join(classed.select("digest", "rep"), "digest")
+    signed = table.where(F.col("n") > 0).select("digest", "doc_id", "n", "sig").join(reps, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "n", "sig").dropDuplicates(["digest"])
     pairs = materialize(_near(met_nodes, signed, like))
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    rest = materialize(_sets(docs, wanted.join(classed.select("digest", "rep"), "digest"), classes, width))
-    found.append(_verified(pairs, rest, like))
+    # large buckets
+    hot = met.where(F.col("m") > bucket).select(F.xxhash64("token").alias("bucket"), "grp").join(classed.select("grp", "digest"), "grp").select("bucket", "digest")
+    hot = materialize(hot.unionByName(inside.where(F.col("members") > bucket).select(F.xxhash64("family").alias("bucket"), "digest")).select("bucket", "digest", F.col("digest").alias("root")))
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(hot.select("digest")).distinct()
+    sets = materialize(_sets(docs, wanted.join(classed.select("digest", "rep"), "digest"), classes, width))
+    found = [_verified(pairs, sets, like)]
+    for level in range(levels):
+        if hot.isEmpty():
+            break
+        family = materialize(_families(hot))
+        apart = materialize(_differences(family, _centres(family, sets), sets, like))
+        roles = materialize(_roles(apart, like))
+        found.append(roles.where(F.col("linked") & (F.col("digest") != F.col("pivot.digest"))).select(F.col("pivot.digest").alias("a"), F.col("digest").alias("b")))
+        posted = materialize(_postings(roles))
+        few = (F.col("free") * F.col("free") + 2 * F.col("own") * (F.col("free") + F.col("rest")) <= bucket * bucket) if level + 1 < levels else F.lit(True)
+        found.append(_overlapping(materialize(_meet(posted.where(few), like)), apart))
+        if level + 1 < levels:
+            hot = materialize(posted.where(~few).select(F.xxhash64("family", "token").alias("bucket"), "digest", "root").distinct())
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
