@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import os
 import re
 import struct
@@ -31,29 +32,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import materialize, shared_dir
+from turnwise.llm.memory import Memory, in_groups
 from turnwise.llm.store import Reader, Writer
 
 MAGIC = b"TWIDS001"
 #: Ids of a block, about; a longer document is a block by itself.
 BLOCK_IDS = 1 << 16
 #: Words that are kept; beyond them the older half goes. Only speed depends on it.
-WORDS = 300_000
+WORDS = 250_000
 FILES = "part int, file string, size bigint, docs bigint, ids bigint"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_STOP = re.compile(r"[.,](?<=[a-z][.,])(?=[\x20\x09-\x0D]|\Z)")
+#: A Latin letter in UTF-8, as alternatives for a look behind; words of such letters.
+_LETTERS = (rb"[a-z]", rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
+_LATIN = re.compile(rb"(?:%s|%s)+" % _LETTERS)
+#: A stop or comma before white space: after a letter, and after anything else.
+_STOP = re.compile(rb"(?:(?<=%s)|(?<=%s))[.,](?=[\x20\x09-\x0D]|\Z)" % _LETTERS)
+_ODD = re.compile(rb"[.,](?<!%s[.,])(?<!%s[.,])(?=[\x20\n])" % _LETTERS)
+#: The byte-level spelling: visible Latin-1 characters stand for their byte, the others for the characters from 256 on, in order.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_SPELLING = "".join(chr(_SPELLING.get(b, b)) for b in range(256)).replace(chr(256 + 10), "\n", 1)
 
 
-def words(text: str | None, fold: bool) -> list[str]:
-    """Pieces whose ids one after the other are the text's.
+def words(text: str | None, fold: bool) -> list[bytes]:
+    """Pieces in UTF-8 whose ids one after the other are the text's.
 
     White space always parts pieces. For a vocabulary that is lower case and splits letters from marks (``fold``), A-Z are lowered and
-    a final stop or comma after a letter is a piece of its own, so that fewer different pieces occur; texts with special tokens keep their case.
+    a stop or comma after a letter and before white space is a piece of its own, so that fewer different pieces occur; texts with special tokens keep their case.
     """
     if not text:
         return []
-    if fold and "<|" not in text:
-        text = _STOP.sub(lambda m: " " + m[0], text.encode("utf-8", "replace").lower().decode())
-    return _WORD.findall(text)
+    data = text.encode("utf-8", "replace")
+    if fold and b"<|" not in data:
+        data = data.lower()
+        if _ODD.search(data):
+            data = _STOP.sub(rb" \g<0>", data)
+        else:
+            data = data.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
+    return data.split()
+
+
+def _spelled(words: list[bytes]) -> list[str]:
+    """Lowered words with a character for each byte."""
+    return b"\n".join(words).decode().lower().encode().decode("latin-1").translate(_SPELLING).split("\n") if words else []
 
 
 class Tokens:
@@ -68,59 +88,44 @@ class Tokens:
         # whether the vocabulary folds case and parts marks from letters is seen from what it does
         probe = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.fold = probe("AZ.") == probe("az") + probe(".") and probe("Mz,") == probe("mz") + probe(",")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The words' ids; those that are new go through the tokenizer together, with blanks between."""
-        found, new = {}, []
-        for w in words:
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                found[w] = ids
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        if probe("ab cd") != probe("ab") + probe("cd") or probe(" \t\n"):
+            raise ValueError(f"{path} doesn't drop white space before it splits: texts can't be encoded word by word")
+        #: words of Latin letters can go to the vocabulary's model itself: the steps before it only lower and spell them
+        asked = ("seen", "being", "ÀÉ", "çaßÿ", "Øþ", "internationally")
+        self.direct = self.fold and all([t.id for t in self.tokenizer.model.tokenize(_spelled([w.encode()])[0])] == probe(w) for w in asked)
+        self.memory = Memory(self.learn, WORDS, self.kind)
+
+    def learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words, how many each has): Latin words by the model, others through the whole tokenizer together, with blanks between."""
+        plain = [bool(self.direct and _LATIN.fullmatch(w)) for w in new]
+        rest, slow = [w.decode() for w, p in zip(new, plain, strict=True) if not p], []
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
             coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)  # blanks part them, and offsets say whose an id is
-            ids = np.array(coded.ids, self.kind)
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ends = np.searchsorted(np.fromiter((x for x, _ in coded.offsets), np.int64, len(ids)), starts)
-            for w, a, b in zip(part, ends[:-1], ends[1:], strict=True):
-                found[w] = ids[a:b].tobytes()
-        if len(self.known) + len(found) > WORDS:
-            self.older, self.known = self.known, {}
-        self.known |= {w: ids for w, ids in found.items() if len(w) <= 64} if len(found) <= WORDS else {}
-        return found
+            ends = np.searchsorted(np.fromiter((x for x, _ in coded.offsets), np.int64, len(coded)), starts).tolist()
+            ids = coded.ids
+            slow += [ids[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+        cut, slow = self.tokenizer.model.tokenize, iter(slow)
+        fast = iter(_spelled([w for w, p in zip(new, plain, strict=True) if p]))
+        out = [[t.id for t in cut(next(fast))] if p else next(slow) for p in plain]
+        counts = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), self.kind, int(counts.sum())), counts
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the end id, as bytes of ``kind``."""
         collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and each collection would walk the memories
+        gc.disable()  # nothing here is cyclic, and each collection would walk the memory
         try:
-            return self._encode(texts, end)
+            last, out = np.array([end], self.kind).tobytes(), []
+            for ids, counts in in_groups(texts, lambda t: words(t, self.fold), self.memory):
+                data, ends = ids.tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
+                out += [data[x:y] + last for x, y in zip([0, *ends], ends, strict=False)]
+            return out
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        last, out, group, size = np.array([end], self.kind).tobytes(), [], [], 0
-        for t in [*texts, None]:
-            group.append(words(t, self.fold))
-            size += len(group[-1])
-            if size > 200_000 or len(out) + len(group) > len(texts):
-                before = self.known
-                found = self.learn({w for pieces in group for w in pieces if w not in before})
-                look = {**before, **found} if self.known is not before else None
-                table = look or self.known
-                for pieces in group:
-                    try:
-                        out.append(b"".join(map(table.__getitem__, pieces)) + last)
-                    except KeyError:
-                        out.append(b"".join(found[w] if w in found else table[w] for w in pieces) + last)
-                group, size = [], 0
-        return out[: len(texts)]
-
 
 @functools.cache
 def tokens(path: str) -> Tokens:
@@ -166,28 +171,32 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, folder: str | None = No
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
 
+    kind, size = tokens(tokenizer).kind, tokens(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)
+
     def code(batches):
-        t = tokens(tokenizer)
+        t, n = tokens(tokenizer), np.zeros(size, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(t.encode(part["text"].to_pylist(), end), pa.binary())], ["doc_id", "ids"])
+                ids = t.encode(part["text"].to_pylist(), end)
+                n += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary()), pa.nulls(part.num_rows, pa.binary())], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([n.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
-    coded = materialize(docs.select("doc_id", "text").mapInArrow(code, "doc_id bigint, ids binary"))
-    kind, size = tokens(tokenizer).kind, tokens(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)
+    written = materialize(docs.select("doc_id", "text").mapInArrow(code, "doc_id bigint, ids binary, counts binary"))  # a row of counts from each task
+    coded = written.where(F.col("ids").isNotNull()).select("doc_id", "ids")
 
     def count(batches):
         n = np.zeros(size, np.int64)
         for b in batches:
-            for x in b["ids"]:
-                got = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                n[: len(got)] += got
+            for x in b["counts"]:
+                n += np.frombuffer(x.as_buffer(), np.int64)
         at = np.flatnonzero(n)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["id", "n"])
 
     totals = np.zeros(size, np.int64)
-    for r in coded.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    for r in written.where(F.col("counts").isNotNull()).select("counts").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         totals[r["id"]] = r["n"]
     by_rank = np.lexsort((np.arange(size), -totals)).astype(np.uint32)
     rank = np.empty(size, np.uint32)
