@@ -262,8 +262,10 @@ def test_bpe_against_the_library():
     c, e, rng = bpe.coder(BPE_PATH, public_tokenizers.PATTERN), tiktoken_encoding(), random.Random(4)
     alphabet = "aabthe  \n\t 'sé日１2\U0001f600　\x1c\x85zT.!-"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)] + [t or "" for t in ODD]
-    for t, ids in zip(texts, c.encode_many(texts), strict=True):
-        assert ids.tolist() == e.encode_ordinary(t) and c.decode(ids.tolist()) == t
+    ids, counts = c.encode_many(texts)
+    decoded, ends = c.decode_many(ids, counts).to_pylist(), np.cumsum(counts)
+    for t, d, a, b in zip(texts, decoded, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == e.encode_ordinary(t) and d == t
 
 
 def test_long_piece_and_bounded_window():
@@ -276,10 +278,30 @@ def test_long_piece_and_bounded_window():
 def test_small_machine_resets():
     machine = bpe.Transducer(bpe.read_ranks(BPE_PATH), states=50)
     words = [w.encode() for w in ("tokenisation", "unhappiness", "qwrtzpsdfg", "überraschung", "zzzzzz") * 3]
-    assert machine.encode_many(words) == [np.array(machine.merge(w), "<i4").tobytes() for w in words]
+    ids, counts = machine.encode_many(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [machine.merge(w) for w in words]
     assert [machine.encode(w) for w in words] == [machine.merge(w) for w in words]
 
 
+def test_tokens_that_stand_side_by_side():
+    """The walk down the merges of two tokens against the merges of their bytes."""
+    machine, rng = bpe.Transducer(bpe.read_ranks(BPE_PATH)), random.Random(7)
+    ids = [*range(1500), *(rng.randrange(50_000) for _ in range(1500))]
+    x, y = np.array([rng.choice(ids) for _ in range(6000)]), np.array([rng.choice(ids) for _ in range(6000)])
+    assert machine.own.all()
+    want = [machine.merge(machine.bytes_of[a] + machine.bytes_of[b]) == [a, b] for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert machine.fits(x, y).tolist() == want and not all(want)
+
+
+def test_decoding_broken_characters():
+    c, rng = bpe.coder(BPE_PATH, public_tokenizers.PATTERN), random.Random(8)
+    runs = [[rng.randrange(700) for _ in range(rng.randrange(30))] for _ in range(400)]
+    decoded = c.decode_many(np.array([i for r in runs for i in r]), np.array([len(r) for r in runs])).to_pylist()
+    assert decoded == [b"".join(c.bytes_of[i] for i in r).decode("utf-8", "replace") for r in runs]
+    with pytest.raises(ValueError):
+        c.decode([10**6])
+
+
 def test_utf8_machine():
     rng = random.Random(6)
     for _ in range(2000):
