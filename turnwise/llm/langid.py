@@ -10,7 +10,8 @@ up on the executors; a profile has 300 entries, so the model grows with the numb
 row by row over whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null language or text
-don't train; without any profile every text is ``und``; ties between languages go to the first by code point.
+don't train; equal texts of one language train once, so rows without an id are sampled like others; without any profile every text is ``und``;
+ties between languages go to the first by code point; repeated rows get equal results, an empty table an empty one; a very long text is counted whole.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, modulus: int, remainder: int, rows: int = FIT_ROWS, pro
     bound = F.lit(0)
     for lang, n in sorted(per_lang.items()):
         bound = F.when(F.col("lang") == lang, min(span, rows * span // n)).otherwise(bound)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < bound).select("lang", "text")
+    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(span)) < bound).select("lang", "text").distinct()  # equal texts, and rows without an id, count once
 
     def count(batches):
         for b in batches:
