@@ -8,16 +8,18 @@ more often than the entry's. A match inside an exception doesn't count. A logist
 summed weights and of the length gives the score.
 
 Learning reads a bounded sample of labelled rows (FIT_ROWS, a parameter); counts of words are added up on the
-executors, and only entries that pass the significance test reach the driver, at most LEXICON. Scoring is row by row
-over whole texts: no shuffle, no skew.
+executors, and only entries, exceptions and phrases that pass their tests reach the driver: each stands in several rows of the
+sample, so its size bounds them, and none is cut. Scoring is row by row over whole texts, in time linear in the text: no shuffle, no skew.
 
 Defined cases: a null or empty text matches nothing and gets the curve's value there; without positive labels there
-is no entry and every score is the share of positive labels; extra columns pass through; repeated rows score alike.
+is no entry and every score is the share of positive labels; extra columns pass through; repeated rows score alike, rows of one id
+teach once (the least text); null ids and labels teach nothing; an empty table has an empty result, and without labels the curve gives 0.5.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -32,7 +34,6 @@ from pyspark.sql import types as T
 from turnwise.llm.common import labelled_sample, materialize
 
 FIT_ROWS = 12_000
-LEXICON = 5_000
 STEM = range(4, 9)
 PHRASE = (2, 3)
 LEAST_ODDS, LEAST_EVIDENCE, PURE_ODDS, PHRASE_EVIDENCE = 3.0, 12.0, 2.0, 6.0
@@ -97,8 +98,14 @@ class Lexicon:
         if not len(self._automaton):
             return []
         found = list(self._automaton.iter(folded))
-        excused = [(end - len(e) + 1, end) for end, e in found if e not in self.weights]
-        return [(end, e) for end, e in found if e in self.weights and not any(a <= end - len(e) + 1 and end <= b for a, b in excused)]
+        excused = sorted((end - len(e) + 1, end) for end, e in found if e not in self.weights)
+        starts, reach = [a for a, _ in excused], list(itertools.accumulate((b for _, b in excused), max))
+
+        def covered(start: int, end: int) -> bool:
+            before = bisect.bisect_right(starts, start)
+            return before > 0 and reach[before - 1] >= end
+
+        return [(end, e) for end, e in found if e in self.weights and not covered(end - len(e) + 1, end)]
 
     def measure(self, text: str | None) -> tuple[float, int]:
         folded = fold(text)
@@ -147,11 +154,10 @@ def _phrases(sample: DataFrame, lexicon: Lexicon, odds: Column) -> list[str]:
 
     rows = sample.select("text", (F.col("y") > 0).cast("int").alias("y")).mapInArrow(count, "entry string, phrase string, bad bigint, good bigint")
     counts = materialize(rows.groupBy("entry", "phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    clean = counts.where(F.col("entry") == F.col("phrase")).select("entry", ((F.col("good") + 0.5) / (F.col("bad") + F.col("good") + 1)).alias("clean"))  # at most LEXICON
+    clean = counts.where(F.col("entry") == F.col("phrase")).select("entry", ((F.col("good") + 0.5) / (F.col("bad") + F.col("good") + 1)).alias("clean"))  # a row for each entry of the lexicon
     evidence = F.col("good") * F.log(F.col("good") / (F.col("bad") + F.col("good")) / F.col("clean"))
     harmless = counts.where((F.col("entry") != F.col("phrase")) & (F.col("good") >= 2)).where(odds < PURE_ODDS).join(F.broadcast(clean), "entry").where(evidence >= PHRASE_EVIDENCE)
-    best = harmless.groupBy("phrase").agg(F.max("good").alias("good")).orderBy(F.desc("good"), "phrase").limit(LEXICON)
-    return sorted(r["phrase"] for r in best.collect())
+    return sorted(r["phrase"] for r in harmless.select("phrase").distinct().collect())  # in two rows of the sample each
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, rows: int = FIT_ROWS, label: str = "toxic") -> Lexicon:
@@ -172,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, rows
     counts = sample.select("text", (F.col("y") > 0).cast("int").alias("y")).mapInArrow(count, "entry string, bad bigint, good bigint").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     evidence = F.col("bad") * F.log((F.col("bad") / max(1, n_bad)) / ((F.col("bad") + F.col("good")) / max(1, n_bad + n_good)))
-    strong = counts.withColumn("odds", odds).where((F.col("bad") > 0) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).orderBy(F.desc("odds"), "entry").limit(LEXICON)
+    strong = counts.withColumn("odds", odds).where((F.col("bad") > 0) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE))
     weights: dict[str, float] = {}
     for r in sorted(strong.collect(), key=lambda r: (len(r["entry"]), r["entry"])):
         if not any(r["entry"][:k] in weights for k in range(2, len(r["entry"]))):  # the shortest beginning stands for all
@@ -184,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, rows
         for k in sorted({len(e) for e in stems}):
             of_stem = of_stem | F.substring("entry", 1, k).isin([e for e in stems if len(e) == k])
         benign = counts.where(F.col("entry").endswith(" ") & of_stem & (F.col("good") >= 2)).withColumn("odds", odds).where(F.col("odds") < PURE_ODDS)
-        exceptions = sorted(r["entry"] for r in benign.orderBy(F.desc("good"), "entry").limit(LEXICON).collect())
+        exceptions = sorted(r["entry"] for r in benign.select("entry").collect())
     lexicon = Lexicon(weights, exceptions, (0.0, 0.0, 0.0))
     if weights:
         lexicon = Lexicon(weights, exceptions + _phrases(sample, lexicon, odds), lexicon.curve)
