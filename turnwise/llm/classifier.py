@@ -9,7 +9,8 @@ are extracted on all executors, and one task makes the ordered passes over the b
 model is 2^18 floats, whatever the corpus. Scoring is row by row: no shuffle, no skew.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; null labels and
-ids don't train; without any labelled row all scores are 0.5; extra columns pass through untouched.
+ids don't train, rows of one id train once; without any labelled row all scores are 0.5; repeated rows score alike, an empty table gives an
+empty result; a very long text is one vector of at most 2^18 places; extra columns pass through untouched, one of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder:
         w, bias = train([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), y) for _, y, i, x in got])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
+    # a row for each of the bounded sample
     got = sample.select(F.xxhash64("doc_id").alias("key"), "y", "text").mapInArrow(extract, "key bigint, y int, idx binary, val binary")
-    model = got.coalesce(1).mapInArrow(learn, "w binary, bias double").first()
+    model = got.repartition(1).mapInArrow(learn, "w binary, bias double").first()
     return np.frombuffer(model["w"], np.float32), model["bias"]
 
 

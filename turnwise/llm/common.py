@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext.getCheckpointDir()
         base = found.rsplit("/", 1)[0] if found else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = tempfile.mkdtemp(prefix="turnwise-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -60,11 +62,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents that are not held out: (doc_id, text, y), chosen by the hash of their id.
+    """At most ``rows`` labelled documents that are not held out: (doc_id, text, y), chosen by the hash of their id, as a written table.
 
-    The sample of (doc_id, y) has a proven bound of ``rows`` rows of 16 bytes, so it is broadcast and no
-    text is shuffled. Of several labels for one document the largest counts; null labels and ids do not.
+    The sample of (doc_id, y) has a proven bound of ``rows`` rows of 16 bytes, so it is broadcast; only texts of the sample are shuffled, so that
+    of rows of one id the least text counts once. Of several labels for one document the largest counts; null labels and ids do not.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     y = y.where(~held_out(F.col("doc_id"), modulus, remainder)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return materialize(found.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("doc_id", "text", "y"))
