@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from turnwise.llm.memory import Memory, gather, in_groups
 
 #: States and runs that are kept; beyond them a memory starts anew. Only speed depends on it.
-STATES, PIECES = 200_000, 150_000
+STATES, PIECES = 120_000, 100_000
 #: Pieces of up to so many bytes step together. They are shorter than the window, so their tokens need no more lookahead.
 LOCKSTEP = 64
 #: Rows that are coded at a time.
