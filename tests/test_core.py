@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import spans, text, vocab
 from turnwise.operators import belief, evaluate, evidence, quality, state, teacher, tracks
-from turnwise.plans import catalog, queries  # noqa: F401
+from turnwise.plans import catalog, parity, queries  # noqa: F401
 from turnwise.sources import files
 
 
+PARITY = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ == parity.__name__)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -220,7 +223,7 @@ def test_files(spark, tmp_path):
         teacher.blind_guard("test")
 
 
-@pytest.mark.parametrize("name", ["dialogue_trajectories", "asof_snapshot_grid", "state_fold", "qa_pairs", "gate_rows", "write_scopes"])
+@pytest.mark.parametrize("name", ["dialogue_trajectories", "asof_snapshot_grid", "state_fold", "qa_pairs", "gate_rows", "write_scopes", "doctor_units_supervision", "last3_mentions", *PARITY])
 def test_queries_equal_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -265,3 +268,45 @@ def test_stable_ids_of_control_characters_and_nulls(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     want = {(i, k, hashlib.sha256(f"{json.dumps(t, ensure_ascii=False)}|{k}".encode()).hexdigest()[:24]) for i, k, t in rows}
     assert set(map(tuple, catalog.QUERIES["stable_ids"](spark, str(tmp_path)).collect())) == want
+
+
+def test_spans_need_a_type(spark):
+    labels = ["B", "I", "B-Drug", "I-Drug", "I", "I-Drug", "B-Drug", "O", "I-Drug"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(labels)], "k int, pos int, label string")
+    got = sorted(tuple(r) for r in spans.bio_spans(rows, ["k"]).collect())
+    assert got == [(1, 2, 4, "Drug"), (1, 6, 7, "Drug")]
+
+
+def test_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([], "f array<double>, y int")
+    some = spark.createDataFrame([([1.0], 1)], "f array<double>, y int")
+    assert [r["probability"] for r in evaluate.fit_logistic(df, "f", "y")(some).collect()] == [0.5]
+
+
+def test_units_of_an_opening_doctor(spark):
+    """The first turn's input is the snapshot before the dialogue; contexts name their speakers; no later turn leaks."""
+    turns = spark.createDataFrame([(1, 0, "doctor", "hello", "Other"), (1, 1, "patient", "cough", None), (1, 2, "doctor", "long?", "Request-Symptom")], "dialogue_id bigint, turn_index bigint, speaker string, text string, act string")
+    events = spark.createDataFrame([(1, "e", 1, 1, "present")], "dialogue_id bigint, episode_id string, turn_index bigint, event_id int, new_state string")
+    taken = belief.snapshots(turns, belief.snapshot_grid(turns, events))
+    features, labels = belief.prediction_units(turns, taken)
+    got = {r["target_turn"]: (r["input_turn"], r["active_count"], r["context_text"]) for r in features.collect()}
+    assert got == {0: (-1, 0, ""), 2: (1, 1, "doctor: hello\npatient: cough")}
+    assert belief.no_leak(features).first()[0] is True and labels.count() == 2
+
+
+def test_last_mentions(spark):
+    targets = spark.createDataFrame([(1, "c", 5), (1, "c", 0), (2, "c", 9)], "dialogue_id int, concept string, turn_index int")
+    mentions = spark.createDataFrame([(1, "c", t) for t in (0, 1, 2, 4, 5, 7)], "dialogue_id int, concept string, turn_index int")
+    got = sorted((r["turn_index"], r["mention_turn"], r["nth"]) for r in teacher.last_mentions(targets, mentions).collect())
+    assert got == [(5, 1, 3), (5, 2, 2), (5, 4, 1)]
+
+
+def test_gate_finds_each_fault(spark):
+    good = dict(label_status="DIRECT_CROSS_MODEL_AGREEMENT", state_authority=True, agreement_sources=["a", "b"], temporality="current", existence_effect="SET_PRESENT", facet_effect="NO_FACET_UPDATE", target_binding="DIRECT_TARGET", subject="patient", existence_write_scope="CURRENT", facet_write_scope="NONE")
+    schema = "label_status string, state_authority boolean, agreement_sources array<string>, temporality string, existence_effect string, facet_effect string, target_binding string, subject string, existence_write_scope string, facet_write_scope string"
+    none = F.array().cast("array<string>")
+    run = lambda *rows: teacher.gate(spark.createDataFrame([tuple({**good, **r}.values()) for r in rows], schema), none).first()
+    assert run({})["gate_pass"]
+    assert not run({}, {"label_status": teacher.HOLD, "existence_write_scope": "NONE"})["hold_has_no_authority"]
+    assert not run({"existence_write_scope": "HISTORY"})["scopes_valid"]
+    assert not run({"agreement_sources": ["a", "a"]})["views_agree"]

@@ -15,16 +15,17 @@ def label_rows(df: DataFrame, keys: list[str], labels: str) -> DataFrame:
 def bio_spans(rows: DataFrame, keys: list[str], confidence: str | None = None) -> DataFrame:
     """Spans (keys, char_start, char_end, entity_type[, confidence]) of B-/I- labels in rows (keys, pos, label).
 
-    A ``B-`` begins a span, an ``I-`` of the same type goes on with it, all else ends it; an ``I-`` without a beginning gives none.
+    A ``B-`` begins a span, an ``I-`` of the same type goes on with it, all else ends it; an ``I-`` without a beginning
+    gives none, nor does a label without a type.
     """
     w = W.partitionBy(*keys).orderBy("pos")
     kind = F.when(F.col("label").contains("-"), F.substring_index("label", "-", -1)).otherwise(F.col("label"))
-    goes_on = F.col("label").startswith("I") & (kind == F.lag(kind).over(w)) & ~F.lag("label").over(w).isin("O")
+    goes_on = F.col("label").startswith("I-") & (kind == F.lag(kind).over(w)) & F.lag("label").over(w).contains("-")
     marked = rows.withColumn("kind", kind).withColumn("breaks", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     islands = marked.withColumn("island", F.sum("breaks").over(w.rowsBetween(W.unboundedPreceding, 0)))
     extra = [F.avg(confidence).alias("confidence")] if confidence else []
     grouped = islands.groupBy(*keys, "island", "kind").agg(F.min("pos").alias("char_start"), (F.max("pos") + 1).alias("char_end"), F.min_by("label", "pos").alias("first"), *extra)
-    return grouped.where(F.col("first").startswith("B")).select(*keys, "char_start", "char_end", F.when(F.col("first") == F.col("kind"), F.lit(None).cast("string")).otherwise(F.col("kind")).alias("entity_type"), *(["confidence"] if confidence else []))
+    return grouped.where(F.col("first").startswith("B-")).select(*keys, "char_start", "char_end", F.col("kind").alias("entity_type"), *(["confidence"] if confidence else []))
 
 
 def char_labels(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnwise.functions.text import stable_id
+
 
 def snapshot_grid(turns: DataFrame, events: DataFrame, key: str = "dialogue_id", order: tuple[str, ...] = ("turn_index", "event_id"), include_pre_turn: bool = False) -> DataFrame:
     """(key, turn_index, episode_id, state, last_update_turn, evidence_count) of every episode at every turn from its first event on.
@@ -39,6 +41,28 @@ def snapshots(turns: DataFrame, grid: DataFrame, key: str = "dialogue_id", activ
     return out.select(key, "turn_index", F.coalesce("active_count", F.lit(0)).cast("long").alias("active_count"), (F.col("turn_index") - F.col("latest")).alias("distance_since_last"), "states")
 
 
+def with_initial(taken: DataFrame, turns: DataFrame, key: str = "dialogue_id") -> DataFrame:
+    """Snapshots and, for each dialogue, the one before its first turn (at -1): nothing is known yet."""
+    first = turns.select(key).distinct().select(key, F.lit(-1).cast(taken.schema["turn_index"].dataType).alias("turn_index"), F.lit(0).cast("long").alias("active_count"))
+    return taken.unionByName(first, allowMissingColumns=True)
+
+
+def history(turns: DataFrame, evidence: DataFrame, holds: DataFrame, key: str = "dialogue_id") -> DataFrame:
+    """(key, turn_index, evidence_count, evidence_by_source, holds, transition_ids_hash) at each turn: all up to and with it.
+
+    ``evidence`` has transition_id and source_kind, ``holds`` a row for each open hold. Ids are gathered within a dialogue only, in
+    the order of turns and ids, and travel as their digest; counts by source are a map.
+    """
+    at = evidence.groupBy(key, "turn_index").agg(F.array_sort(F.collect_list("transition_id")).alias("ids"), F.collect_list("source_kind").alias("kinds"))
+    held = holds.groupBy(key, "turn_index").agg(F.count("*").alias("h"))
+    w = W.partitionBy(key).orderBy("turn_index").rowsBetween(W.unboundedPreceding, 0)
+    rows = turns.select(key, "turn_index").join(at, [key, "turn_index"], "left").join(held, [key, "turn_index"], "left")
+    upto = rows.select(key, "turn_index", F.flatten(F.collect_list("ids").over(w)).alias("ids"), F.flatten(F.collect_list("kinds").over(w)).alias("kinds"), F.coalesce(F.sum("h").over(w), F.lit(0)).cast("long").alias("holds"))
+    names = F.array_sort(F.array_distinct("kinds"))
+    by = F.array_join(F.transform(names, lambda k: F.concat_ws("=", k, F.size(F.filter("kinds", lambda x: x == k)))), ",")
+    return upto.select(key, "turn_index", F.size("ids").cast("long").alias("evidence_count"), by.alias("evidence_by_source"), "holds", F.md5(F.array_join("ids", "|").cast("binary")).alias("transition_ids_hash"))
+
+
 def running(turns: DataFrame, counters: dict[str, Column], key: str = "dialogue_id") -> DataFrame:
     """Running counts of conditions up to and with each turn."""
     w = W.partitionBy(key).orderBy("turn_index").rowsBetween(W.unboundedPreceding, 0)
@@ -67,14 +91,16 @@ def action_family(act: Column) -> Column:
 
 
 def prediction_units(turns: DataFrame, taken: DataFrame, key: str = "dialogue_id", context_turns: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(features, labels) of doctor turns: a feature row holds the snapshot of the turn before and earlier texts only."""
-    around = context(turns, -context_turns, -1, key).where(F.col("speaker") == "doctor")
+    """(features, labels) of doctor turns: a feature row holds the snapshot of the turn before (of -1 for an opening turn) and earlier texts only."""
+    said = turns.withColumn("text", F.concat_ws(": ", "speaker", "text"))
+    around = context(said, -context_turns, -1, key).where(F.col("speaker") == "doctor")
+    taken = with_initial(taken, turns, key)
     previous = taken.select(key, (F.col("turn_index") + 1).alias("turn_index"), F.col("turn_index").alias("input_turn"), "active_count", "distance_since_last")
-    unit = F.concat_ws(":", F.col(key), F.col("turn_index"))
+    unit = stable_id(F.col(key), F.col("turn_index"), F.lit("doctor_action"))
     features = around.join(previous, [key, "turn_index"], "left").select(unit.alias("unit_id"), key, F.col("turn_index").alias("target_turn"), "input_turn", "active_count", "distance_since_last", F.array_join("context", "\n").alias("context_text"))
     labels = turns.where(F.col("speaker") == "doctor").select(unit.alias("unit_id"), "act", action_family(F.col("act")).alias("action_family"))
     return features, labels
 
 
 def no_leak(features: DataFrame) -> DataFrame:
-    return features.agg(F.coalesce(F.bool_and(F.coalesce(F.col("input_turn") < F.col("target_turn"), F.lit(True))), F.lit(True)).alias("no_leak"))
+    return features.agg(F.coalesce(F.bool_and(F.coalesce(F.col("input_turn") < F.col("target_turn"), F.lit(False))), F.lit(True)).alias("no_leak"))

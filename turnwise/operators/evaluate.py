@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.functions.text import json_value
 from turnwise.functions.vocab import NLI_FACETS
 from turnwise.operators.quality import ratio
 
@@ -34,6 +35,43 @@ def field_accuracy(df: DataFrame, fields: dict[str, tuple[Column, Column]], vali
     return df.agg(n.alias("rows"), F.count_if(valid).alias("valid_rows"), *(ratio(F.count_if(c), n).alias(f"{name}_accuracy") for name, c in right.items()), ratio(F.count_if(every), n).alias("full_exact"))
 
 
+def exactness(df: DataFrame, valid: Column, sets: dict[str, tuple[Column, Column]], quotes: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Shares of all rows that are valid and have the same set (order and repeats don't count), and the same quotes to the letter."""
+    n, own = F.count("*"), lambda c: ratio(F.count_if(F.coalesce(valid & c, F.lit(False))), F.count("*"))
+    every = F.lit(True)
+    for g, p in quotes.values():
+        every = every & g.eqNullSafe(p)
+    return df.agg(n.alias("rows"), *(own(same_set(g, p)).alias(f"{name}_exact") for name, (g, p) in sets.items()), own(every).alias("quotes_exact"))
+
+
+def normalisation(cards: DataFrame, gold: DataFrame, key: list[str], kind: str = "Symptom") -> DataFrame:
+    """Among predicted spans of the kind that are a gold span to the letter and have a concept: how many there are and the share whose concept is right."""
+    told = cards.where((F.col("entity_type") == kind) & F.col("canonical_concept").isNotNull() & (F.col("canonical_concept") != ""))
+    both = told.join(gold.select(*key, F.col("concept").alias("gold_concept")), key)
+    n = F.count("*")
+    return both.agg(ratio(F.count_if(F.col("canonical_concept") == F.col("gold_concept")), n).alias("accuracy"), n.alias("evaluable"))
+
+
+def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value as JSON, n) of each field: one pass, a row for each field goes into one aggregation with map-side sums."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), json_value(F.col(f)).alias("value")) for f in fields)))
+    return df.select(each.alias("e")).groupBy("e.field", "e.value").agg(F.count("*").alias("n"))
+
+
+def field_deltas(paired: DataFrame, fields: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(field, mean_delta): mean of second right minus first right, from (target, first, second) of each row."""
+    hit = lambda a, b: F.coalesce(a.eqNullSafe(b), F.lit(False)).cast("double")
+    one = paired.agg(*(F.coalesce(F.avg(hit(t, second) - hit(t, first)), F.lit(0.0)).alias(name) for name, (t, first, second) in fields.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("mean_delta")) for f in fields))).alias("e")).select("e.*")
+
+
+def split_deltas(metrics: DataFrame, split: str, names: list[str], first: str = "train", second: str = "dev") -> DataFrame:
+    """(metric, delta): the absolute difference of each metric between two splits, from a row for each split."""
+    at = lambda c, s: F.max(F.when(F.col(split) == s, F.col(c)))
+    one = metrics.agg(*(F.abs(at(c, first) - at(c, second)).alias(c) for c in names))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("delta")) for c in names))).alias("e")).select("e.*")
+
+
 def label_accuracy(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(gold).alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col(gold) == F.col(predicted)).alias("right")).withColumn("accuracy", ratio(F.col("right"), F.col("n")))
 
@@ -113,11 +151,14 @@ def nli_features(entail: dict[str, Column], contradict: dict[str, Column], revie
 
 
 def fit_logistic(df: DataFrame, features: str, target: str, c: float = 1.0):
-    """Standardised, class-balanced logistic regression with an L2 penalty: a function table -> table with ``probability``."""
+    """Standardised, class-balanced logistic regression with an L2 penalty: a function table -> table with ``probability``, 0.5 if there is nothing to learn from."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    n = len(df.select(features).first()[0])
+    one = df.select(features).first()
+    if one is None:
+        return lambda table: table.withColumn("probability", F.lit(0.5))
+    n = len(one[0])
     stats = df.agg(*(F.avg(F.get(features, F.lit(i))).alias(f"m{i}") for i in range(n)), *(F.stddev_pop(F.get(features, F.lit(i))).alias(f"s{i}") for i in range(n)), F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")).first()
     scaled = F.array(*((F.get(features, F.lit(i)) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i in range(n)))
     weight = F.when(F.col(target) == 1, stats["n"] / (2.0 * max(1, stats["pos"]))).otherwise(stats["n"] / (2.0 * max(1, stats["n"] - stats["pos"])))

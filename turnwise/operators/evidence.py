@@ -51,6 +51,13 @@ def route(allowed: Column, review: Column, speaker: Column, entity_type: Column)
     )
 
 
+def routing(cards: DataFrame, authorizations: DataFrame) -> DataFrame:
+    """A row for each card with its first route, and one more for each authorization that a calibrated model gave."""
+    own = cards.select("card_id", F.col("card_id").alias("source_card_id"), "dialogue_id", "turn_index", "route", (F.col("route") == "accepted_current_symptom").alias("state_change_allowed"))
+    more = authorizations.select(F.col("authorization_id").alias("card_id"), F.col("card_id").alias("source_card_id"), "dialogue_id", "turn_index", F.lit("proxy_calibrated_nli_authority").alias("route"), F.lit(True).alias("state_change_allowed"))
+    return own.unionByName(more)
+
+
 def aliases(mentions: DataFrame) -> DataFrame:
     """(surface, concept or null, candidates) from (surface, concept): a concept with strictly more mentions than any other, or else all."""
     counted = mentions.groupBy("surface", "concept").agg(F.count("*").alias("n"))

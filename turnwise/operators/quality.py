@@ -28,6 +28,19 @@ def quantiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.0, 0.25, 0.5
     return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v").alias("v"))).alias("z")).select("z.q", F.bround("z.v", digits).alias("value"))
 
 
+def percentiles(df: DataFrame, values: list[str], at: tuple[float, ...] = (0, 50, 95, 99, 100)) -> DataFrame:
+    """(measure, q, value): exact percentiles by linear interpolation, from counted values: what is sorted are distinct values with
+    their counts, summed before they are dealt out, and each percentile reads the two places around its rank."""
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values)))
+    counted = df.select(each.alias("e")).where("e.x is not null").groupBy("e.measure", "e.x").agg(F.count("*").alias("c"))
+    upto = counted.select("measure", "x", "c", F.sum("c").over(W.partitionBy("measure").orderBy("x")).alias("upto"), F.sum("c").over(W.partitionBy("measure")).alias("n"))
+    asked = upto.select("*", F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("q")).withColumn("rank", F.col("q") / 100 * (F.col("n") - 1))
+    inside = lambda r: (F.col("upto") - F.col("c") <= r) & (r < F.col("upto"))
+    low, high = F.floor("rank"), F.ceil("rank")
+    ends = asked.groupBy("measure", "q").agg(F.max(F.when(inside(low), F.col("x"))).alias("a"), F.max(F.when(inside(high), F.col("x"))).alias("b"), F.max("rank").alias("rank"))
+    return ends.select("measure", "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("value"))
+
+
 def top_k(df: DataFrame, value: str, order: str, k: int) -> DataFrame:
     """The k most frequent values; ties go to the one met first in ``order``."""
     return df.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(k)
@@ -40,9 +53,9 @@ def duplicate_groups(df: DataFrame, digest: Column, member: str, split: str) ->
 
 
 def keep_first(df: DataFrame, digest: Column, order: list[str]) -> DataFrame:
-    """The first row of each digest in the given order; only keys and orders are compared."""
-    ranked = df.withColumn("_digest", digest).withColumn("_r", F.row_number().over(W.partitionBy("_digest").orderBy(*order)))
-    return ranked.where(F.col("_r") == 1).drop("_digest", "_r")
+    """The first row of each digest in the given order: a minimum that is taken before rows are dealt out, so many copies cost one row a task."""
+    row = F.struct(*(F.col(c) for c in [*order, *(c for c in df.columns if c not in order)]))
+    return df.withColumn("_digest", digest).groupBy("_digest").agg(F.min_by(row, F.struct(*order)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in df.columns))
 
 
 def decontaminate(train: DataFrame, dev: DataFrame, digest) -> DataFrame:

@@ -60,11 +60,16 @@ def packets(turns: DataFrame, asks: Column, key: str = "dialogue_id", before: in
 
 
 def last_mentions(targets: DataFrame, mentions: DataFrame, k: int = 3, key: str = "dialogue_id") -> DataFrame:
-    """The last k mentions before each target (key, concept, turn_index), with their place from the nearest."""
-    m = mentions.select(key, "concept", F.col("turn_index").alias("mention_turn"))
-    both = targets.select(key, "concept", "turn_index").join(m, [key, "concept"]).where(F.col("mention_turn") < F.col("turn_index"))
-    nth = F.row_number().over(W.partitionBy(key, "concept", "turn_index").orderBy(F.desc("mention_turn")))
-    return both.withColumn("nth", nth).where(F.col("nth") <= k)
+    """The last k mentions before each target (key, concept, turn_index), with their place from the nearest.
+
+    Mentions are numbered; a running count tells each target the numbers it wants, so at most k rows a target are joined.
+    """
+    by = [key, "concept"]
+    m = mentions.select(*by, F.col("turn_index").alias("mention_turn"), F.row_number().over(W.partitionBy(*by).orderBy("turn_index")).alias("number"))
+    sides = targets.select(*by, "turn_index", F.lit(0).alias("seen")).unionByName(mentions.select(*by, "turn_index", F.lit(1).alias("seen")))
+    upto = sides.withColumn("count", F.sum("seen").over(W.partitionBy(*by).orderBy("turn_index", "seen").rowsBetween(W.unboundedPreceding, 0))).where("seen = 0")  # at one turn the target stands first
+    wanted = upto.where("count > 0").select(*by, "turn_index", F.explode(F.sequence(F.greatest(F.lit(1), F.col("count") - k + 1), F.col("count")).cast("array<int>")).alias("number"), "count")
+    return wanted.join(m, [*by, "number"]).select(*by, "turn_index", "mention_turn", (F.col("count") - F.col("number") + 1).alias("nth"))
 
 
 def signature(fields: list[Column], facets: Column) -> Column:
@@ -90,3 +95,40 @@ def blind_guard(split: str, blind: tuple[str, ...] = ("test",), allowed: bool =
     """Refuses a blind partition unless it is allowed expressly."""
     if split in blind and not allowed:
         raise PermissionError(f"the partition {split!r} is blind")
+
+
+HOLD = "HOLD_META_DISAGREEMENT"
+
+
+def coverage(final: DataFrame, by: list[str] | None = None, least: float = 0.90) -> DataFrame:
+    """Rows, shares with a settled label, on hold and with authority, and whether the settled share reaches the checkpoint."""
+    n, held = F.count("*"), F.col("label_status") == HOLD
+    out = final.groupBy(*(by or [])).agg(n.alias("rows"), (F.count_if(~held) / F.greatest(n, F.lit(1))).alias("silver_coverage"), (F.count_if(held) / F.greatest(n, F.lit(1))).alias("hold_rate"), (F.count_if("state_authority") / F.greatest(n, F.lit(1))).alias("state_authority_rate"))
+    return out.withColumn("checkpoint_pass", F.col("silver_coverage") >= least)
+
+
+def gate(final: DataFrame, errors: Column, most_invalid: float = 0.005, views: int = 2) -> DataFrame:
+    """One row of the counts and tests that a teacher's final labels must pass; scopes are worked out again and compared.
+
+    ``final`` has label_status, state_authority, agreement_sources, existence_write_scope, facet_write_scope and the fields that scopes need.
+    """
+    held = F.col("label_status") == HOLD
+    one, two = write_scopes({c: F.col(c) for c in ("temporality", "existence_effect", "facet_effect", "target_binding", "subject")}, F.col("label_status"))
+    settled, authority = F.count_if(~held), F.col("state_authority")
+    counts = final.agg(
+        F.count("*").alias("rows"),
+        settled.alias("silver_count"),
+        (F.count_if(~held & (F.size(errors) > 0)) / F.greatest(settled, F.lit(1))).alias("invalid_rate"),
+        F.count_if(held & authority).alias("hold_with_authority"),
+        F.count_if(~(one.eqNullSafe(F.col("existence_write_scope")) & two.eqNullSafe(F.col("facet_write_scope")))).alias("scope_mismatches"),
+        F.count_if(authority & ~F.col("subject").eqNullSafe("patient")).alias("nonpatient_with_authority"),
+        F.count_if(authority & ~F.coalesce(F.col("target_binding").isin("DIRECT_TARGET", "TARGET_FACET"), F.lit(False))).alias("unbound_with_authority"),
+        F.count_if(~held & (F.size(F.array_distinct("agreement_sources")) < views)).alias("too_few_views"),
+    )
+    tested = counts.withColumns({
+        "schema_and_quotes_valid": F.col("invalid_rate") <= most_invalid,
+        "views_agree": F.col("too_few_views") == 0,
+        "hold_has_no_authority": F.col("hold_with_authority") == 0,
+        "scopes_valid": (F.col("scope_mismatches") + F.col("nonpatient_with_authority") + F.col("unbound_with_authority")) == 0,
+    })
+    return tested.withColumn("gate_pass", F.col("schema_and_quotes_valid") & F.col("views_agree") & F.col("hold_has_no_authority") & F.col("scopes_valid"))

@@ -349,7 +349,7 @@ def _acted(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""with t as (select *, {_ACT_SQL} as act from ({TURNS_SQL})), s as (select t.dialogue_id, t.turn_index, count(*) filter (g.state = 'present') as active_count from t left join ({_GRID_SQL}) g on g.dialogue_id = t.dialogue_id and g.turn_index = t.turn_index group by 1, 2)
-select t.dialogue_id || ':' || t.turn_index as unit_id, s.turn_index as input_turn, s.active_count, case act when 'Request-Symptom' then 'ASK_SYMPTOM' when 'Inform-Symptom' then 'CLINICAL_INFORM' when 'Inform-Precautions' then 'RECOMMEND' when 'Diagnose' then 'DIAGNOSE' else 'OTHER' end as action_family
+select substr(sha256(t.dialogue_id || '|' || t.turn_index || '|"doctor_action"'), 1, 24) as unit_id, t.turn_index - 1 as input_turn, case when t.turn_index = 0 then 0 else s.active_count end as active_count, case act when 'Request-Symptom' then 'ASK_SYMPTOM' when 'Inform-Symptom' then 'CLINICAL_INFORM' when 'Inform-Precautions' then 'RECOMMEND' when 'Diagnose' then 'DIAGNOSE' else 'OTHER' end as action_family
 from t left join s on s.dialogue_id = t.dialogue_id and s.turn_index = t.turn_index - 1 where speaker = 'doctor'""")
 def doctor_units_supervision(spark, sf_dir) -> DataFrame:
     t = _acted(spark, sf_dir)
