@@ -49,12 +49,21 @@ def test_lzw_goes_through_all_widths():
 
 def test_tiff_column_with_broken_files(spark):
     good = tiff.encode([np.zeros((2, 3), np.uint8), np.ones((4, 5), np.uint8)])
-    looped = bytearray(good)
+    looped = bytearray(good)  # the last directory names the first as its next
+    first = at = struct.unpack_from("<I", good, 4)[0]
+    while at:
+        place = at + 2 + 12 * struct.unpack_from("<H", good, at)[0]
+        at = struct.unpack_from("<I", good, place)[0]
+    struct.pack_into("<I", looped, place, first)
+    assert [n for n, _ in tiff.walk(bytes(looped))] == [n for n, _ in tiff.walk(good)]
     media = spark.createDataFrame([(1, good), (2, None), (3, b"no image"), (4, good[:60]), (5, good), (5, good)], "id int, file binary")
     rows = tiff.read_pages(media, "file", ["id"]).collect()
     by = Counter(r["id"] for r in rows if r["error"] is None)
     assert by == {1: 2, 5: 4} and {r["id"] for r in rows if r["error"]} == {3, 4}
-    assert len(looped) and tiff.read_pages(media.limit(0), "file", ["id"]).count() == 0
+    assert tiff.read_pages(media.limit(0), "file", ["id"]).count() == 0
+    clash = tiff.read_pages(media.withColumn("page", F.lit("own")).withColumn("error", F.lit("own")), "file", ["id", "page", "error"])
+    assert clash.columns[:5] == ["id", "page", "error", "tiff_page", "width"] and clash.columns[-1] == "tiff_error"
+    assert clash.where("page = 'own' and tiff_page = 1").count() == clash.where("tiff_page = 1").count() > 0
 
 
 def patched(file, order, **tags):
@@ -167,7 +176,7 @@ def test_fold():
     assert toxicity.fold("іdіоt") == toxicity.fold("idiot")
     assert toxicity.fold("tr@sh") == toxicity.fold("Trash")
     assert toxicity.fold("ｓｔｕｐｉｄ") == toxicity.fold("stupid")
-    assert toxicity.fold(None) == "  " and len(set(map(len, ("ab",)))) == 1
+    assert toxicity.fold(None) == "  "
 
 
 def test_exceptions_and_length():
@@ -371,7 +380,7 @@ def test_archive(spark):
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out) == want
     table = sorted((r.asDict() for r in parts.collect()), key=lambda p: p["first_key"])
     assert [r["page_id"] for r in warc.lookup(folder, table, "org,site,www3)/p?38")] == [38]
-    assert sorted(r["page_id"] for r in warc.lookup(folder, table, "org,site,www0)/p?7")) == [7, 7] or len(warc.lookup(folder, table, "org,site,www0)/p?7")) >= 1
+    assert sorted(r["page_id"] for r in warc.lookup(folder, table, "org,site,www0)/p?7")) == [7, 7]
     assert warc.lookup(folder, table, "org,site,zzz)/") == [] and warc.lookup(folder, table, "b,a)/")[0]["page_id"] == 901
     empty = warc.write_archive(pages.limit(0))
     assert warc.read_archive(spark, *empty).count() == 0

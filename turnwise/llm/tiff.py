@@ -7,8 +7,8 @@ tiles that are stored plain, by PackBits, LZW or deflate, undoes the horizontal
 Row by row: no shuffle, no skew; output leaves a task in pieces of bounded size.
 
 Defined cases: a null media value gives no page; bytes that aren't a TIFF file, or a page that can't be decoded, give
-one row with ``error`` and no samples, and the walk goes on with the next page; columns to keep are named, others are dropped, so names can't clash; repeated rows
-give repeated pages.
+one row with ``error`` and no samples, and the walk goes on with the next page; columns to keep are named, others are dropped; a page
+column whose name is kept already gets the prefix ``tiff_``; repeated rows give repeated pages, an empty table no page; files of any length are read whole.
 """
 
 from __future__ import annotations
@@ -349,6 +349,8 @@ PAGE_COLUMNS = "page int, width int, height int, bands int, bits int, descriptio
 def read_pages(media: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """``keep`` and PAGE_COLUMNS: a row for each page of the TIFF files in ``column``."""
     source = media.select(*keep, F.col(column).alias("turnwise_media"))
+    fields = [T.StructField(f"tiff_{f.name}" if f.name in keep else f.name, f.dataType) for f in T._parse_datatype_string(PAGE_COLUMNS).fields]
+    names = [f.name for f in fields]
 
     def read(batches):
         for b in batches:
@@ -375,7 +377,7 @@ def read_pages(media: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
     def _batch(b, rows, at):
         own = b.take(pa.array(at, pa.int64())).columns[:-1]
-        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*b.schema.names[:-1], *(x.split()[0] for x in PAGE_COLUMNS.split(", "))])
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*b.schema.names[:-1], *names])
 
-    schema = T.StructType([*media.select(*keep).schema.fields, *T._parse_datatype_string(PAGE_COLUMNS).fields])
+    schema = T.StructType([*media.select(*keep).schema.fields, *fields])
     return source.mapInArrow(read, schema)
