@@ -168,6 +168,22 @@ def test_mix_odd_tables(spark):
     assert {(r["target"], r["taken"]) for r in empty} == {(0.0, 0)}
 
 
+def test_mix_rows_that_share_a_key(spark):
+    """A source of rows without an id, or of repeated ids, meets its target to the word as well; reruns give the same rows."""
+    rows = [(None, "word", "a")] * 1000 + [(None, "two words", "a")] * 30 + [(7, "three small words", "b")] * 200 + [(7, "w " * 9, "b")] * 20 + [(i, "w " * 7, "c") for i in range(200)]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"] + 1e-9)
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(2)).collect()))
+    taken = mixing.repeat_rows(spark.createDataFrame([(None, f"text {i}", "a") for i in range(300)] + [(1, "w " * 900, "b")], df.schema)).groupBy("source").count().collect()
+    assert dict(map(tuple, taken))["a"] > 300
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------
 
 

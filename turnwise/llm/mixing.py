@@ -13,7 +13,8 @@ rows of one bucket are ordered together.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, last in the order; sources
 without words have target 0; an empty table gives an empty result; repeated rows count each for itself, and rows
-of one id are taken alike; extra columns are ignored by ``mix`` and kept by ``repeat_rows``.
+of one id, or without one, are taken in the order of their sizes, so that a source's taken words meet its target then too;
+in ``repeat_rows`` rows equal in id and text are taken alike. Extra columns are ignored by ``mix`` and kept by ``repeat_rows``.
 """
 
 from __future__ import annotations
@@ -69,19 +70,37 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return state.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share)).drop("cap", "full")
 
 
-def seeded_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def seeded_key(doc_id: Column, seed: str, text: Column | None = None) -> Column:
+    """The hash by whose order documents are taken; with ``text`` it tells apart different texts of one id."""
+    more = [] if text is None else [F.lit(":"), F.xxhash64(text).cast("string")]
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), *more).cast("binary"))
 
 
 def _of(source: Column) -> Column:
     return source.eqNullSafe(F.col("of"))
 
 
+def _cut_row(sized: DataFrame, cut: DataFrame) -> DataFrame:
+    """``cut`` with cut_row: of the equal rows at each cut, in the order of ``row``, the one that is taken in part.
+
+    Rows are counted by the task that wrote them (the upper bits of ``row``); only those of the one task where the cut falls are numbered.
+    """
+    full = F.floor(F.col("cut_part") / F.greatest(F.lit(1), F.col("cut_each"))).cast("long")
+    at = sized.join(cut.withColumn("full", full), F.col("source").eqNullSafe(F.col("c")) & (F.col("key") == F.col("cut")) & (F.col("size") == F.col("cut_each")))
+    at = at.select("c", "cut", "full", "row", F.shiftright("row", 33).alias("task"))
+    counted = at.groupBy("c", "task", "full").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("earlier", F.sum("n").over(W.partitionBy("c").orderBy("task")) - F.col("n"))
+    there = counted.where((F.col("earlier") <= F.col("full")) & (F.col("full") < F.col("earlier") + F.col("n"))).select(F.col("c").alias("c2"), F.col("task").alias("t2"), (F.col("full") - F.col("earlier") + 1).alias("nth"))
+    numbered = at.join(there, F.col("c").eqNullSafe(F.col("c2")) & (F.col("task") == F.col("t2"))).withColumn("k", F.row_number().over(W.partitionBy("c").orderBy("row")))
+    found = numbered.where(F.col("k") == F.col("nth")).select(F.col("c").alias("c3"), F.col("row").alias("cut_row"))
+    return cut.join(found, F.col("c").eqNullSafe(F.col("c3")), "left").drop("c3")
+
+
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """A row for each source of ``sized`` (source, size, key): ``of``, source_size, target, whole, cut, cut_part and cut_size.
+    """A row for each source of ``sized`` (source, size, key and, if wanted, row): ``of``, source_size, target, whole, cut, cut_each, cut_part, cut_size.
 
-    ``whole`` is how often every document is taken; those with a key before ``cut`` are taken once more, and of those
-    with the key ``cut``, whose sizes sum to cut_size, cut_part words.
+    ``whole`` is how often every document is taken; those before (``cut``, ``cut_each``) in the order of (key, size) are taken once more, and of those
+    equal to both, whose sizes sum to cut_size, cut_part words. With a column ``row`` there is cut_row too: equal rows before it are taken once more, it in part.
     """
     totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
     filled = water_fill(_weighted(_ranked(totals.select("source", "source_size")), weights), max_epochs)
@@ -98,35 +117,39 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
     crossing = materialize(sums.where((F.col("before") <= F.col("missing")) & (F.col("upto") > F.col("missing"))).select(F.col("of").alias("c"), F.col("bucket").alias("b"), "before"))
     inside = placed.join(crossing, F.col("of").eqNullSafe(F.col("c")) & (F.col("bucket") == F.col("b")))
-    keys = inside.groupBy("of", "key", "before", "missing").agg(F.sum("size").alias("cut_size"))
-    start = F.col("before") + F.sum("cut_size").over(W.partitionBy("of").orderBy("key")) - F.col("cut_size")
+    keys = inside.groupBy("of", "key", "size", "before", "missing").agg(F.sum("size").alias("cut_size"))
+    start = F.col("before") + F.sum("cut_size").over(W.partitionBy("of").orderBy("key", "size")) - F.col("cut_size")
     cut = keys.withColumn("start", start).where((F.col("start") <= F.col("missing")) & (F.col("start") + F.col("cut_size") > F.col("missing")))
-    cut = cut.select(F.col("of").alias("c"), F.col("key").alias("cut"), (F.col("missing") - F.col("start")).alias("cut_part"), "cut_size")
-    return materialize(filled.join(cut, F.col("of").eqNullSafe(F.col("c")), "left").select("of", "source_size", "target", "whole", "cut", "cut_part", "cut_size"))
+    cut = cut.select(F.col("of").alias("c"), F.col("key").alias("cut"), F.col("size").alias("cut_each"), (F.col("missing") - F.col("start")).alias("cut_part"), "cut_size")
+    rows = ["cut_row"] if "row" in sized.columns else []
+    if rows:
+        cut = _cut_row(sized, materialize(cut))
+    return materialize(filled.join(cut, F.col("of").eqNullSafe(F.col("c")), "left").select("of", "source_size", "target", "whole", "cut", "cut_each", "cut_part", "cut_size", *rows))
 
 
 def _more() -> Column:
     """Words beyond the whole repetitions."""
-    at_cut = F.floor(F.col("size") * F.col("cut_part") / F.greatest(F.lit(1), F.col("cut_size"))).cast("long")
-    return F.when(F.col("key") < F.col("cut"), F.col("size")).when(F.col("key") == F.col("cut"), at_cut).otherwise(0).cast("long")
+    place, cut = F.struct("key", "size", "row"), F.struct("cut", "cut_each", "cut_row")
+    part = F.col("cut_part") % F.greatest(F.lit(1), F.col("cut_each"))
+    return F.when(F.col("cut").isNull(), 0).when(place < cut, F.col("size")).when(place == cut, part).otherwise(0).cast("long")
 
 
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, whole, more (words beyond whole repetitions) and taken."""
-    sized = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")))
+    sized = materialize(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key"), F.monotonically_increasing_id().alias("row")))
     out = sized.join(plan(sized, **options), _of(F.col("source"))).withColumn("more", _more())
     return out.select("doc_id", "source", "size", "source_size", "target", "whole", "more", (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """The mix as rows: each document as often as it is taken, a fraction counting as one if it is half the document or more.
+    """The mix as rows: each document as often as it is taken, a fraction counting as one if it is half the document or more (of rows equal in id and text, half of all).
 
     Documents without words are not taken. Texts are not dealt out: they meet only the table of sources.
     """
-    sized = materialize(docs.select("source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")))
+    sized = materialize(docs.select("source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed, F.col("text")).alias("key")))
     packed = plan(sized, **options).select("of", F.struct("whole", "cut", "cut_part", "cut_size").alias("turnwise_plan"))
     of = "turnwise_of"
-    p, key = F.col("turnwise_plan"), seeded_key(docs["doc_id"], seed)
+    p, key = F.col("turnwise_plan"), seeded_key(docs["doc_id"], seed, docs["text"])
     once = (key < p["cut"]) | ((key == p["cut"]) & (2 * p["cut_part"] >= p["cut_size"]))
     times = F.when(F.coalesce(docs["text"].rlike(WORD), F.lit(False)), p["whole"] + F.when(once, 1).otherwise(0)).otherwise(0)
     joined = docs.join(packed.withColumnRenamed("of", of), docs["source"].eqNullSafe(F.col(of)))

@@ -19,7 +19,7 @@ first_free as (select min(r) as r0 from sums where weight::hugeint * (total - go
 free as (select (total - gone)::bigint as rest, open::bigint as open_weight from sums, first_free where r = r0),
 targets as (select sums.source, sums.source_size, case when r0 is null or r < r0 then cap::double else (weight * rest)::double / open_weight::double end as target from sums left join first_free on true left join free on true),
 plan as (select *, floor(target)::bigint as quota, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as whole from targets),
-run as (select s.doc_id, s.size, p.source_size, p.target, p.whole, p.quota - p.whole * p.source_size as missing, coalesce(sum(s.size) over (partition by s.source order by s.key rows between unbounded preceding and 1 preceding), 0) as before from sized s join plan p on s.source is not distinct from p.source)
+run as (select s.doc_id, s.size, p.source_size, p.target, p.whole, p.quota - p.whole * p.source_size as missing, coalesce(sum(s.size) over (partition by s.source order by s.key, s.size rows between unbounded preceding and 1 preceding), 0) as before from sized s join plan p on s.source is not distinct from p.source)
 select doc_id, size::bigint as size, source_size, target, (whole * size + greatest(0, least(size, missing - before)))::bigint as taken from run
 """
 
