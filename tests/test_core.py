@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import spans, text, vocab
 from turnwise.operators import belief, evaluate, evidence, quality, state, teacher, tracks
-from turnwise.plans import catalog, parity, queries  # noqa: F401
+from turnwise.plans import catalog, checks, parity, queries  # noqa: F401
 from turnwise.sources import files
 
 
-PARITY = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ == parity.__name__)
+PARITY = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in (checks.__name__, parity.__name__))
 
 
 def one(spark, column):
@@ -227,7 +227,7 @@ def test_files(spark, tmp_path):
 def test_queries_equal_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "labels", "events", "conversations"):
+    for t in ("documents", "labels", "events", "conversations", "customer", "orders", "nation"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     df = catalog.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -252,6 +252,49 @@ def test_similarity_top3_asks_for_every_name(spark, tmp_path):
     assert {(r["surface"], r["alias"], r["concept"], r["similarity"], r["rank"]) for r in got} == want and len(got) == 12
 
 
+def test_suggestions_over_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(9))) for _ in range(120)]
+    table = [(n, f"c{rng.randrange(4)}") for n in names] + [("abc", None)] * 4
+    monkeypatch.setattr(evidence, "_BLOCK", 17)
+    monkeypatch.setattr(evidence, "_PACK", 7)
+    known = spark.createDataFrame(table, "surface string, concept string")
+    got = evidence.suggestions(spark.createDataFrame([(n,) for n in names[:40]], "surface string"), known).collect()
+    assert len(got) == 3 * len(set(names[:40]))
+    for name in set(names[:40]):
+        best = sorted(((difflib.SequenceMatcher(None, name, n).ratio(), n, c or "") for n, c in table), reverse=True)[:3]
+        assert [(r["similarity"], r["alias"], r["concept"] or "") for r in sorted((r for r in got if r["surface"] == name), key=lambda r: r["rank"])] == best
+
+
+def test_percentiles_of_many_values(spark):
+    rng = random.Random(4)
+    for values in ([rng.randrange(10**9) for _ in range(3000)], [rng.choice((1, 2, 7)) for _ in range(999)], [5.5], [1.0, 4.0], [3.0, None, None]):
+        df = spark.createDataFrame([(None if v is None else float(v), -1.0) for v in values], "a double, b double")
+        got = {(r["measure"], r["q"]): r["value"] for r in quality.percentiles(df, ["a", "b"]).collect()}
+        known = [v for v in values if v is not None]
+        assert len(got) == 10 and all(abs(got["a", q] - np.percentile(known, q)) < 1e-6 and got["b", q] == -1.0 for q in (0, 50, 95, 99, 100))
+    assert quality.percentiles(df.limit(0), ["a"]).count() == 0
+
+
+def test_frozen_files(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text(name)
+    found = lambda: files.manifest(spark, str(tmp_path), "*.txt")
+    kept = str(tmp_path / "kept")
+    files.freeze(found(), kept)
+    assert files.frozen_errors(spark, found(), kept).count() == 0
+    (tmp_path / "a.txt").write_text("other")
+    (tmp_path / "b.txt").unlink()
+    (tmp_path / "d.txt").write_text("d")
+    assert sorted(map(tuple, files.frozen_errors(spark, found(), kept).collect())) == [("a.txt", "changed"), ("b.txt", "missing"), ("d.txt", "unexpected")]
+
+
+def test_similarity_equals_difflib(spark):
+    rows = [("abcd", "bcde"), ("", ""), (None, "a"), ("cold plate", "old plate")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.similarity("a", "b").alias("r"))
+    assert all(r["r"] == difflib.SequenceMatcher(None, r["a"] or "", r["b"] or "").ratio() for r in df.collect())
+
+
 def test_bootstrap_query_makes_ten_thousand_draws(spark, sf_dir):
     j = queries._judged(spark, sf_dir).select("source", "doc_id", "gold", "pred").toPandas()
     j["delta"] = (j["gold"] == j["pred"]).astype(float) - (j["gold"] == 1).astype(float)

@@ -85,6 +85,12 @@ def paired_table(df: DataFrame, before: Column, after: Column) -> DataFrame:
     return df.agg(F.count_if(after & ~before).alias("wins"), F.count_if(before & ~after).alias("losses"), F.count_if(before & after).alias("ties_right"), F.count_if(~before & ~after).alias("ties_wrong"))
 
 
+def paired(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows (key, first, second) of the keys that both runs have, each side as a struct."""
+    a = first.select(key, F.struct(*first.columns).alias("first"))
+    return a.join(second.select(key, F.struct(*second.columns).alias("second")), key)
+
+
 def mcnemar(wins: int, losses: int) -> float:
     """Exact two-sided p of as unequal a table."""
     n, least = wins + losses, min(wins, losses)

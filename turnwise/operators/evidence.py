@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnwise.functions.text import first_match, fullmatch, matching, similarity
+from turnwise.functions.text import first_match, fullmatch, matching
 from turnwise.functions.vocab import BLOCKING_AUTHORITY, DEMO_FACETS
 
 
@@ -71,12 +74,52 @@ def with_concept(spans: DataFrame, table: DataFrame) -> DataFrame:
     return spans.join(table.where(F.col("concept").isNotNull()).select("surface", "concept"), "surface", "left")
 
 
+_BLOCK, _PACK = 2000, 500
+_SUGGESTED = "surface string, alias string, concept string, similarity double"
+
+
+def _best(k: int):
+    """Batches of (surfaces, aliases), both lists, to the k best aliases of each surface; bounds of the ratio spare most comparisons."""
+
+    def order(x):
+        ratio, alias, concept = x
+        return ratio, alias is not None, alias or "", concept is not None, concept or ""
+
+    def run(batches):
+        for b in batches:
+            for surfaces, known in zip(b["surfaces"], b["aliases"], strict=True):
+                best = [[] for _ in surfaces]
+                match = difflib.SequenceMatcher(None)
+                for entry in known:
+                    match.set_seq2(entry["alias"] or "")
+                    for own, surface in zip(best, surfaces, strict=True):
+                        match.set_seq1(surface or "")
+                        least = own[-1][0] if len(own) == k else -1.0
+                        if match.real_quick_ratio() < least or match.quick_ratio() < least:
+                            continue
+                        own.append((match.ratio(), entry["alias"], entry["concept"]))
+                        own.sort(key=order, reverse=True)
+                        del own[k:]
+                rows = [(s, a, c, r) for s, own in zip(surfaces, best, strict=True) for r, a, c in own]
+                yield pd.DataFrame(rows, columns=["surface", "alias", "concept", "similarity"])
+
+    return run
+
+
 def suggestions(surfaces: DataFrame, table: DataFrame, k: int = 3) -> DataFrame:
-    """The k most similar aliases of each distinct surface. Every surface meets every alias, which the vocabulary bounds."""
-    pairs = surfaces.select("surface").distinct().crossJoin(table.select(F.col("surface").alias("alias"), "concept"))
-    scored = pairs.withColumn("similarity", similarity("surface", "alias"))
+    """The k most similar aliases of each distinct surface, exactly: packs of surfaces meet every block of the alias table by its number.
+
+    A pack and a block keep k aliases for each surface, of which the best remain, so pairs never become rows.
+    """
+    asked = surfaces.select("surface").distinct()
+    blocks, packs = (max(1, -(-df.count() // size)) for df, size in ((table, _BLOCK), (asked, _PACK)))
+    entry = F.struct(F.col("surface").alias("alias"), F.col("concept").cast("string").alias("concept"))
+    known = table.groupBy(F.pmod(F.xxhash64("surface", "concept"), F.lit(blocks)).alias("block")).agg(F.collect_list(entry).alias("aliases"))
+    packed = asked.groupBy(F.pmod(F.xxhash64("surface"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("surface")).alias("s"))
+    packed = packed.select(F.transform("s", lambda x: x["surface"]).alias("surfaces"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    found = packed.join(known, "block").select("surfaces", "aliases").mapInPandas(_best(k), _SUGGESTED)
     w = W.partitionBy("surface").orderBy(F.desc("similarity"), F.desc("alias"), F.desc("concept"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def source_hold(text: Column, span: Column, pattern: str, after_span: str, before_span: str) -> Column:
@@ -131,3 +174,22 @@ def stratified(df: DataFrame, strata: list[tuple[str, Column]], key: str, k: int
     """The k least keys of each stratum; strata may overlap."""
     each = df.withColumn("stratum", F.explode(matching(strata)))
     return each.withColumn("_r", F.row_number().over(W.partitionBy("stratum").orderBy(key))).where(F.col("_r") <= k).drop("_r")
+
+
+def annotate(turns: DataFrame, notes: DataFrame, key: str = "dialogue_id") -> DataFrame:
+    """Turns with the annotations that name them."""
+    return turns.join(notes, [key, "turn_index"])
+
+
+def card_gates(cards: DataFrame) -> DataFrame:
+    """One row: ids are unique, spans are what the text has at their place, neither a doctor's card nor one with reasons to review may change state."""
+    at = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    never = lambda c: F.count_if(F.coalesce(c & F.col("state_change_allowed"), F.lit(False))) == 0
+    one = cards.agg(
+        (F.count("*") == F.countDistinct("card_id")).alias("unique_ids"),
+        (F.count_if(~at.eqNullSafe(F.col("span_text"))) == 0).alias("span_matches"),
+        never(F.col("speaker") == "doctor").alias("doctor_never_writes"),
+        never(F.size("reasons") > 0).alias("queue_never_writes"),
+    )
+    tested = F.col("unique_ids") & F.col("span_matches") & F.col("doctor_never_writes") & F.col("queue_never_writes")
+    return one.withColumn("status", F.when(tested, "PASS").otherwise("REVIEW"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnwise.functions.text import matching
+
 
 def counts(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     """Counts by a key; several columns give one key ``a|b``."""
@@ -22,25 +24,44 @@ def ratio(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def quantiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0), digits: int = 3) -> DataFrame:
-    """Exact quantiles with linear interpolation, rounded half to even: rows (q, value)."""
-    one = df.agg(F.percentile(value, F.array(*map(F.lit, at))).alias("v"))
-    return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v").alias("v"))).alias("z")).select("z.q", F.bround("z.v", digits).alias("value"))
+#: Sorted apart from each other when places are sought among distinct values.
+VALUE_RANGES = 256
 
 
-def percentiles(df: DataFrame, values: list[str], at: tuple[float, ...] = (0, 50, 95, 99, 100)) -> DataFrame:
-    """(measure, q, value): exact percentiles by linear interpolation, from counted values: what is sorted are distinct values with
-    their counts, summed before they are dealt out, and each percentile reads the two places around its rank."""
+def _at_places(df: DataFrame, values: list[str], at: dict[float, float]) -> DataFrame:
+    """(measure, q, value) for each q -> share of ``at``: exact, by linear interpolation between the two places around its rank.
+
+    Values are counted first, so that what is dealt out are distinct ones. Approximate cuts part them into ranges, whose sums
+    tell in which range each place lies; only those ranges are sorted, each by itself.
+    """
     each = F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values)))
     counted = df.select(each.alias("e")).where("e.x is not null").groupBy("e.measure", "e.x").agg(F.count("*").alias("c"))
-    upto = counted.select("measure", "x", "c", F.sum("c").over(W.partitionBy("measure").orderBy("x")).alias("upto"), F.sum("c").over(W.partitionBy("measure")).alias("n"))
-    asked = upto.select("*", F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("q")).withColumn("rank", F.col("q") / 100 * (F.col("n") - 1))
-    inside = lambda r: (F.col("upto") - F.col("c") <= r) & (r < F.col("upto"))
-    low, high = F.floor("rank"), F.ceil("rank")
-    ends = asked.groupBy("measure", "q").agg(F.max(F.when(inside(low), F.col("x"))).alias("a"), F.max(F.when(inside(high), F.col("x"))).alias("b"), F.max("rank").alias("rank"))
+    cuts = counted.groupBy("measure").agg(F.percentile_approx("x", [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]).alias("cuts"))
+    ranged = counted.join(F.broadcast(cuts), "measure").select("measure", "x", "c", F.size(F.filter("cuts", lambda y: y <= F.col("x"))).alias("part"))  # a row a measure is broadcast
+    sums = ranged.groupBy("measure", "part").agg(F.sum("c").alias("c"))
+    of = W.partitionBy("measure")
+    sums = sums.select("measure", "part", "c", (F.sum("c").over(of.orderBy("part")) - F.col("c")).alias("earlier"), F.sum("c").over(of).alias("n"))
+    asked = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), (F.lit(share) * (F.col("n") - 1)).alias("rank")) for q, share in at.items())))
+    asked = sums.select("*", asked.alias("a")).select("measure", "part", "c", "earlier", "a.q", "a.rank")
+    asked = asked.withColumn("place", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))))
+    asked = asked.where((F.col("earlier") <= F.col("place")) & (F.col("place") < F.col("earlier") + F.col("c"))).drop("c")  # two rows for each measure and q at most
+    wanted = ranged.join(F.broadcast(asked.select("measure", "part", "earlier").distinct()), ["measure", "part"])
+    upto = wanted.withColumn("upto", F.col("earlier") + F.sum("c").over(W.partitionBy("measure", "part").orderBy("x"))).drop("earlier")
+    met = upto.join(F.broadcast(asked.drop("earlier")), ["measure", "part"]).where((F.col("upto") - F.col("c") <= F.col("place")) & (F.col("place") < F.col("upto")))
+    ends = met.groupBy("measure", "q").agg(F.min_by("x", "place").alias("a"), F.max_by("x", "place").alias("b"), F.max("rank").alias("rank"))
     return ends.select("measure", "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("value"))
 
 
+def quantiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0), digits: int = 3) -> DataFrame:
+    """Exact quantiles with linear interpolation, rounded half to even: rows (q, value)."""
+    return _at_places(df, [value], {q: float(q) for q in at}).select("q", F.bround("value", digits).alias("value"))
+
+
+def percentiles(df: DataFrame, values: list[str], at: tuple[float, ...] = (0, 50, 95, 99, 100)) -> DataFrame:
+    """(measure, q, value): exact percentiles by linear interpolation, several measures in one pass."""
+    return _at_places(df, values, {q: q / 100 for q in at})
+
+
 def top_k(df: DataFrame, value: str, order: str, k: int) -> DataFrame:
     """The k most frequent values; ties go to the one met first in ``order``."""
     return df.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(k)
@@ -123,3 +144,10 @@ def key_set_errors(df: DataFrame, raw: str, expected: tuple[str, ...], key: str)
     want = F.array(*map(F.lit, sorted(expected)))
     error = F.when(have.isNull(), "not_an_object").when(F.size(F.array_except(want, have)) > 0, "missing_keys").when(F.size(F.array_except(have, want)) > 0, "unexpected_keys")
     return df.select(key, error.alias("error")).where(F.col("error").isNotNull())
+
+
+def audit_rows(df: DataFrame, key: str, required: tuple[str, ...] = (), enums: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(key, error) in one pass: ``required:field`` where it is null, ``enum:field`` where it is none of the closed values."""
+    tests = [(f"required:{c}", F.col(c).isNull()) for c in required]
+    tests += [(f"enum:{c}", ~F.coalesce(F.col(c).isin(*values), F.lit(False))) for c, values in (enums or {}).items()]
+    return df.select(key, F.explode(matching(tests)).alias("error"))
