@@ -184,6 +184,40 @@ def test_mix_rows_that_share_a_key(spark):
     assert dict(map(tuple, taken))["a"] > 300
 
 
+# --- intermediate tables ---------------------------------------------------------------------------------------------
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    """Of what an operator wrote on its way only its result stays, also where one runs within another or fails."""
+    from turnwise.llm import common
+
+    names = iter(range(100))
+    monkeypatch.setattr(common, "shared_dir", lambda s: common._made.folders.append(f"file://{tmp_path}/{next(names)}") or common._made.folders[-1])
+    before = len(common._made.folders)
+    left = lambda: len(list(tmp_path.iterdir()))
+
+    @common.tidy
+    def inner(t):
+        common.materialize(t)
+        return common.materialize(t.select(F.col("id") + 1))
+
+    @common.tidy
+    def outer(t):
+        return inner(inner(t).toDF("id")).toDF("id")
+
+    assert [r["id"] for r in outer(spark.range(2)).orderBy("id").collect()] == [2, 3] and left() == 1
+
+    @common.tidy
+    def fails(t):
+        inner(t)
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        fails(spark.range(2))
+    assert common.tidy(lambda t: inner(t).count())(spark.range(3)) == 3
+    assert left() == 1 and len(common._made.folders) == before + 1
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.llm import hashing
-from turnwise.llm.common import labelled_sample
+from turnwise.llm.common import labelled_sample, tidy
 
 BITS = 18
 FIT_ROWS = 12_000
@@ -68,6 +68,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
     return w[:bias].astype(np.float32), float(w[bias])
 
 
+@tidy
 def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     sample = labelled_sample(docs, labels, label, modulus, remainder, rows)
 

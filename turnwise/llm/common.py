@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,16 @@ SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class _Made(threading.local):
+    """Folders that this thread's session made, in order."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_made = _Made()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/turnwise-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/turnwise-{uuid.uuid4().hex}"
+    _made.folders.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -56,6 +71,37 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Folders made within are deleted at the end. Yields a function that writes a table to one that stays."""
+    mark, kept = len(_made.folders), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        kept.append(_made.folders[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _made.folders[mark:]:
+            if path not in kept:
+                remove(spark, path)
+        _made.folders[mark:] = kept
+
+
+def tidy(f):
+    """For a function of a table that is done with its intermediate tables when it ends: a table that it returns is written, all others are deleted."""
+
+    @functools.wraps(f)
+    def run(table: DataFrame, *args, **options):
+        with scratch(table.sparkSession) as keep:
+            out = f(table, *args, **options)
+            return keep(out) if isinstance(out, DataFrame) else out
+
+    return run
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

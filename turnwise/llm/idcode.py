@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize, shared_dir
+from turnwise.llm.common import materialize, scratch, shared_dir
 from turnwise.llm.memory import Memory, in_groups
 from turnwise.llm.store import Reader, Writer
 
@@ -168,9 +168,15 @@ def _block(docs: list[tuple[int | None, np.ndarray]], rank: np.ndarray) -> bytes
 
 def write_ids(docs: DataFrame, tokenizer: str, end: int, folder: str | None = None) -> tuple[str, DataFrame, np.ndarray]:
     """(folder, table of files, id of each rank)."""
-    spark = docs.sparkSession
-    folder = folder or shared_dir(spark)
+    folder = folder or shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        files, by_rank = _files(docs, tokenizer, end, folder)
+        return folder, keep(files), by_rank
+
 
+def _files(docs: DataFrame, tokenizer: str, end: int, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """The files are written when the table of them is read; it is read once."""
+    spark = docs.sparkSession
     kind, size = tokens(tokenizer).kind, tokens(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)
 
     def code(batches):
@@ -223,7 +229,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, folder: str | None = No
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": out.name, "size": out.size, "docs": docs_n, "ids": ids_n}], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("size", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return folder, materialize(ordered.mapInArrow(write, FILES)), by_rank
+    return ordered.mapInArrow(write, FILES), by_rank
 
 
 def read_ids(spark: SparkSession, folder: str, files: DataFrame, by_rank: np.ndarray) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm import hashing
-from turnwise.llm.common import materialize
+from turnwise.llm.common import materialize, tidy
 
 #: A bucket of more members becomes part of a family; after LEVELS families within families what is left is joined pair by pair.
 BUCKET, LEVELS = 32, 6
@@ -466,6 +466,7 @@ def links(docs: DataFrame, width: int, share: int, bucket: int = BUCKET, levels:
     return table.select("doc_id", "digest", "n"), classed.select("digest", "rep", "copies"), materialize(out)
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that links reach, for every node of an edge (a, b)."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -480,12 +481,13 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+@tidy
 def join(docs: DataFrame, width: int = 5, share: int = 80, **options) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row of ``docs``."""
     table, classed, edges = links(docs, width, share, **options)
     roots = components(edges)
     named = classed.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "rep")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    component = materialize(named.join(least, "root").select("digest", "component_id"))
+    component = named.join(least, "root").select("digest", "component_id")
     real = table.where(F.col("n") > 0).join(component, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return real.union(table.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id")))

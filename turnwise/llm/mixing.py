@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import WORD, materialize
+from turnwise.llm.common import WORD, materialize, tidy
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -96,6 +96,7 @@ def _cut_row(sized: DataFrame, cut: DataFrame) -> DataFrame:
     return cut.join(found, F.col("c").eqNullSafe(F.col("c3")), "left").drop("c3")
 
 
+@tidy
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each source of ``sized`` (source, size, key and, if wanted, row): ``of``, source_size, target, whole, cut, cut_each, cut_part, cut_size.
 
@@ -124,7 +125,7 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     rows = ["cut_row"] if "row" in sized.columns else []
     if rows:
         cut = _cut_row(sized, materialize(cut))
-    return materialize(filled.join(cut, F.col("of").eqNullSafe(F.col("c")), "left").select("of", "source_size", "target", "whole", "cut", "cut_each", "cut_part", "cut_size", *rows))
+    return filled.join(cut, F.col("of").eqNullSafe(F.col("c")), "left").select("of", "source_size", "target", "whole", "cut", "cut_each", "cut_part", "cut_size", *rows)
 
 
 def _more() -> Column:
@@ -141,13 +142,19 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "whole", "more", (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
 
 
+@tidy
+def _times(docs: DataFrame, seed: str, **options) -> DataFrame:
+    """The plan of each source, packed, for rows told apart by id and text."""
+    sized = materialize(docs.select("source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed, F.col("text")).alias("key")))
+    return plan(sized, **options).select("of", F.struct("whole", "cut", "cut_part", "cut_size").alias("turnwise_plan"))
+
+
 def repeat_rows(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix as rows: each document as often as it is taken, a fraction counting as one if it is half the document or more (of rows equal in id and text, half of all).
 
     Documents without words are not taken. Texts are not dealt out: they meet only the table of sources.
     """
-    sized = materialize(docs.select("source", text_size(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed, F.col("text")).alias("key")))
-    packed = plan(sized, **options).select("of", F.struct("whole", "cut", "cut_part", "cut_size").alias("turnwise_plan"))
+    packed = _times(docs, seed, **options)
     of = "turnwise_of"
     p, key = F.col("turnwise_plan"), seeded_key(docs["doc_id"], seed, docs["text"])
     once = (key < p["cut"]) | ((key == p["cut"]) & (2 * p["cut_part"] >= p["cut_size"]))

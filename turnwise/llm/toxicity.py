@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.common import labelled_sample, materialize
+from turnwise.llm.common import labelled_sample, materialize, tidy
 
 FIT_ROWS = 12_000
 STEM = range(4, 9)
@@ -160,6 +160,7 @@ def _phrases(sample: DataFrame, lexicon: Lexicon, odds: Column) -> list[str]:
     return sorted(r["phrase"] for r in harmless.select("phrase").distinct().collect())  # in two rows of the sample each
 
 
+@tidy
 def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, rows: int = FIT_ROWS, label: str = "toxic") -> Lexicon:
     sample = labelled_sample(docs, labels, label, modulus, remainder, rows)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import materialize, shared_dir
+from turnwise.llm.common import materialize, scratch, shared_dir
 from turnwise.llm.store import Reader, Writer
 
 MIN_DEDUP = 1000
@@ -133,8 +133,9 @@ def write_archive(pages: DataFrame, folder: str | None = None, block: int = BLOC
             index.close()
             yield pa.RecordBatch.from_pylist([{"first_key": first, "last_key": last, "archive": archive.name, "index": index.name, "directory_at": at, "directory_size": len(raw), "records": records}])
 
-    ordered = captures(pages, min_dedup).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return folder, materialize(ordered.mapInArrow(write, PARTS))
+    with scratch(pages.sparkSession) as keep:
+        ordered = captures(pages, min_dedup).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+        return folder, keep(ordered.mapInArrow(write, PARTS))
 
 
 def _lines(reader: Reader, index: str, at: int, size: int) -> list[list[str]]:
