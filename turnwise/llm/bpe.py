@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.memory import Memory, gather, in_groups
+from turnwise.llm.memory import Memory, gather, give_back, in_groups
 
 #: States and runs that are kept; beyond them a memory starts anew. Only speed depends on it.
 STATES, PIECES = 120_000, 100_000
@@ -537,6 +537,7 @@ def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str) -> Dat
                 part = b.slice(at, ROWS)
                 ids, counts = c.encode_many(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(ids, counts), c.decode_many(ids, counts)], [*own.names, "ids", "decoded"])
+        give_back()
 
     schema = T.StructType([*own.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.select(*keep, F.col("text").alias("turnwise_text")).mapInArrow(code, schema)

@@ -33,9 +33,8 @@ THRESHOLD = 0.3
 _SAME = np.uint64(0x5851F42D4C957F2D)
 
 
-def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the distinct feature numbers, ascending, and their values."""
-    out = []
+def each_features(texts: pa.Array):
+    """Of each text the distinct feature numbers, ascending, and their values, one text after the other."""
     for _, data, offsets in hashing.text_slices(texts):
         words, first = hashing.tokens(data, offsets, hashing.WORDS_AND_MARKS, None)
         pairs = hashing.mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) else words
@@ -44,8 +43,11 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         words, pairs = (words >> shift).astype(np.int32), (pairs >> shift).astype(np.int32)
         for a, b in zip(first[:-1], first[1:], strict=True):
             found, n = np.unique(np.concatenate([words[a:b], pairs[a : max(a, b - 1)]]), return_counts=True)
-            out.append((found, np.sqrt(n / max(1, n.sum())).astype(np.float32)))
-    return out
+            yield found, np.sqrt(n / max(1, n.sum())).astype(np.float32)
+
+
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    return list(each_features(texts))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
@@ -95,7 +97,7 @@ def scorer(model: tuple[np.ndarray, float]):
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         w = np.frombuffer(packed, np.float32)
-        dots = np.array([w[i].astype(np.float64) @ x for i, x in features(texts)])
+        dots = np.array([w[i].astype(np.float64) @ x for i, x in each_features(texts)])
         return pa.array(1 / (1 + np.exp(-np.clip(dots + bias, -35, 35))), pa.float64())
 
     return score.asNondeterministic()  # so that a filter on the score doesn't compute it twice

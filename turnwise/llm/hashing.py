@@ -12,7 +12,7 @@ import pyarrow as pa
 #: Bytes that are hashed at a time; bounds the temporary arrays, not the text.
 PIECE = 1 << 20
 #: Texts of about so many bytes are tokenised together.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

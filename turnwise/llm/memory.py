@@ -6,9 +6,12 @@ each piece, and its ids are gathered by whole-array operations. New pieces of ma
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces of the texts that are coded at a time, about.
 GROUP = 200_000
@@ -77,6 +80,14 @@ class Memory:
         return ids, np.diff(sums)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine, where its C library can: a Python worker lives on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def gather(flat: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """flat[a : a + n] for each place and count, one after the other."""
     total = int(counts.sum())
