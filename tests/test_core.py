@@ -353,3 +353,25 @@ def test_gate_finds_each_fault(spark):
     assert not run({}, {"label_status": teacher.HOLD, "existence_write_scope": "NONE"})["hold_has_no_authority"]
     assert not run({"existence_write_scope": "HISTORY"})["scopes_valid"]
     assert not run({"agreement_sources": ["a", "a"]})["views_agree"]
+
+
+#: Letters beyond ASCII beside words, marks upon them, and letters that fold to ASCII.
+ODD = ("é no", "énot", "noé, 不not了", "not\u0301 so", "the perhapſ", "and waſ it", "\u212anot", "ſince then", "an or\u00a0not", "no_ne", "Was İt?", None, "", "the énot and noñ for x", "the not\u0301 and")
+
+
+@pytest.mark.parametrize("name", ["authority_predicate", "high_value_facets", "source_hold", "turn_snapshots"])
+def test_patterns_equal_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i // 4, i % 4, ("user", "assistant", "system")[i % 3], t) for i, t in enumerate([*ODD, *(t and t.upper() for t in ODD), *(t and t + " a b" * 12 for t in ODD * 2)])]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_java_pattern():
+    edge = text.java(r"\b")
+    assert text.java(r"(?i)\b(was|ago)\b") == f"(?i){edge}(wa[sſ]|ago){edge}" and text.java(r"was [s]") == "was [s]"
+    assert text.java(r"(?i)[^a-z]\sk") == "(?i)[^a-zſK]\\s[kK]" and text.java("(?i)[r-t]") == "(?i)[r-tſ]"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnwise.functions.text import first_match, fullmatch, matching
+from turnwise.functions.text import first_match, fullmatch, java, matching
 from turnwise.functions.vocab import BLOCKING_AUTHORITY, DEMO_FACETS
 
 
@@ -28,7 +28,7 @@ def units(turns: DataFrame, openings: DataFrame | None = None, key: str = "dialo
 
 
 def cue_conditions(text: Column, speaker: Column, cues) -> list[tuple[str, Column]]:
-    return [(name, text.rlike(pattern) & (F.lit(True) if who is None else speaker == who)) for name, pattern, who in cues]
+    return [(name, text.rlike(java(pattern)) & (F.lit(True) if who is None else speaker == who)) for name, pattern, who in cues]
 
 
 def review_reasons(text: Column, speaker: Column, entity_type: Column, concept: Column, confidence: Column, cues, floor: float = 0.8) -> Column:
@@ -125,7 +125,7 @@ def suggestions(surfaces: DataFrame, table: DataFrame, k: int = 3) -> DataFrame:
 def source_hold(text: Column, span: Column, pattern: str, after_span: str, before_span: str) -> Column:
     """A fixed pattern, or one around the row's own span (which is quoted)."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(span, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return text.rlike(pattern) | F.regexp_like(text, F.concat(quoted, F.lit(after_span))) | F.regexp_like(text, F.concat(F.lit(before_span), quoted))
+    return text.rlike(java(pattern)) | F.regexp_like(text, F.concat(quoted, F.lit(after_span))) | F.regexp_like(text, F.concat(F.lit(before_span), quoted))
 
 
 def anchors_of(anchors: Column, candidates: Column) -> Column:
