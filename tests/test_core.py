@@ -359,7 +359,7 @@ def test_gate_finds_each_fault(spark):
 ODD = ("é no", "énot", "noé, 不not了", "not\u0301 so", "the perhapſ", "and waſ it", "\u212anot", "ſince then", "an or\u00a0not", "no_ne", "Was İt?", None, "", "the énot and noñ for x", "the not\u0301 and")
 
 
-@pytest.mark.parametrize("name", ["authority_predicate", "cue_reasons", "review_packets", "high_value_facets", "source_hold", "turn_snapshots"])
+@pytest.mark.parametrize("name", ["authority_predicate", "cue_reasons", "review_packets", "route_counts", "high_value_facets", "source_hold", "turn_snapshots"])
 def test_patterns_equal_sql(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     rows = [(i // 4, i % 4, ("user", "assistant", "system")[i % 3], t) for i, t in enumerate([*ODD, *(t and t.upper() for t in ODD), *(t and t + " a b" * 12 for t in ODD * 2)])]
