@@ -375,3 +375,23 @@ def test_java_pattern():
     edge = text.java(r"\b")
     assert text.java(r"(?i)\b(was|ago)\b") == f"(?i){edge}(wa[sſ]|ago){edge}" and text.java(r"was [s]") == "was [s]"
     assert text.java(r"(?i)[^a-z]\sk") == "(?i)[^a-zſK]\\s[kK]" and text.java("(?i)[r-t]") == "(?i)[r-tſ]"
+
+
+def test_votes_do_not_depend_on_the_order_of_addition(spark, tmp_path):
+    """Means that are whole multiples of 20 in decimals, though a sum of doubles in this order falls short of them."""
+    rng, rows, users = random.Random(4), [], 12
+    while len(rows) < 60 * users:
+        cents = [rng.randrange(1, 8000) for _ in range(19)]
+        values = [c / 100 for c in [*cents, 80_000 - sum(cents)]]
+        if float(np.cumsum(values)[-1]) < 800:
+            k = len(rows) // 20
+            rows += [(3 * (20 * (k // 3) + i) + k % 3, k // 3, v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["vote_2of3"](spark, str(tmp_path)).collect()}
+    assert got == {(u, "2", "meta_a", 3, "ADAPTIVE_META_MAJORITY") for u in range(users)}
+
+
+def test_steady_mean(spark):
+    rows = [(1, 0.1), (1, 0.2), (1, None), (2, None), (3, 1e300), (3, 1.0), (4, float("nan")), (5, float("inf")), (6, -1e-5)]
+    got = dict(spark.createDataFrame(rows, "k int, v double").groupBy("k").agg(quality.steady_mean(F.col("v"))).collect())
+    assert got[1] == 0.15 and got[2] is None and got[3] == 5e299 and np.isnan(got[4]) and got[5] == float("inf") and got[6] == -1e-5

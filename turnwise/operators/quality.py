@@ -20,6 +20,13 @@ def as_map(counted: DataFrame, name: str = "n") -> DataFrame:
     return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", name)))).alias("counts"))
 
 
+def steady_mean(value: Column) -> Column:
+    """Mean of doubles, the same in whatever order the rows are added: the sum of their decimals, rounded once. A group with a value of 10^12 or more, or one that isn't finite, has the plain mean."""
+    fits = F.abs(value) < 1e12
+    total = F.sum(F.when(fits, value).cast("decimal(28,15)")).cast("double")
+    return F.when(F.count_if(value.isNotNull() & ~fits) > 0, F.avg(value)).otherwise(total / F.nullif(F.count(value), F.lit(0)))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
