@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from turnwise.llm import jaccard
@@ -115,3 +116,21 @@ def test_slack_and_overlap_decide_links(share):
         slack = like.slack(len(x ^ centre), len(x)) + like.slack(len(y ^ centre), len(y))
         overlap = -(-slack // (2 * like.whole))
         assert (len((x ^ centre) & (y ^ centre)) >= overlap) == (100 * len(x & y) >= share * len(x | y))
+
+
+def test_fold_has_no_more_tasks_than_chunks(spark):
+    settings = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setJobGroup("fold", "fold")
+        parts = spark.range(0, 3, 1, 3).mapInArrow(lambda batches: (jaccard._parts(np.arange(64)) for _ in batches), "chunk int, data binary")
+        assert jaccard._fold(parts, "<i8", np.add).tolist() == [3 * i for i in range(64)]
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("fold") for s in tracker.getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages if s) <= jaccard.CHUNKS
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -57,7 +57,7 @@ def shingle_sets(texts: pa.Array, width: int):
 
 
 def _fold(parts: DataFrame, kind: str, join) -> np.ndarray:
-    """Arrays that tasks have filled, as rows (chunk, data), joined element by element: a result of fixed size."""
+    """Arrays that tasks have filled, as rows (chunk, data), joined element by element: a result of fixed size. No more tasks than chunks start Python."""
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
@@ -67,7 +67,7 @@ def _fold(parts: DataFrame, kind: str, join) -> np.ndarray:
                 held[c] = x.copy() if c not in held else join(held[c], x)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["chunk", "data"])
 
-    rows = parts.repartition("chunk").mapInArrow(merge, "chunk int, data binary").collect()
+    rows = parts.repartition("chunk").coalesce(CHUNKS).mapInArrow(merge, "chunk int, data binary").collect()
     return np.concatenate([np.frombuffer(zlib.decompress(d), kind) for _, d in sorted((r["chunk"], r["data"]) for r in rows)]) if rows else np.empty(0, kind)
 
 
