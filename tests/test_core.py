@@ -372,6 +372,18 @@ def test_patterns_equal_sql(spark, tmp_path, name):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
 
+def test_cues_beside_any_letter_equal_sql(spark, tmp_path):
+    """Each character up to U+2FFF before, after and within cue words."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(c, i, "user", t.replace("~", chr(c))) for c in range(1, 0x3000) for i, t in enumerate(("~no wa~ Perhap~ or~", "a~go ~ight alway~ ?~"))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    df = catalog.QUERIES["cue_reasons"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLE_SQL['cue_reasons']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["review_packets", "route_counts", "authority_predicate"])
 def test_odd_turns_and_roles_equal_sql(spark, tmp_path, name):
     """Turns before the first, missing ones and ones that a double can't hold; roles that are missing or in no list."""
