@@ -293,6 +293,30 @@ def test_words_equal_whole_texts():
     assert got == [[*t.tokenizer.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
+def test_pieces_in_groups_equal_whole_texts(monkeypatch):
+    t = idcode.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    # capitals before characters that combine with the small letter alone; marks, digits and contractions beside letters; names of special tokens
+    pieces = ["H\u0331", "W\u030a", "T\u05b0\u0308", "K", "\u212a", *map(chr, range(33, 127)), "É", "é", "ß", "×", "÷", "'s", "'RE", "'ll", " ", " ", "\n", "<|startoftext|>", "<|", "word", "\u0338", "日本"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(20))) for _ in range(1500)] + ODD + ["H\u0331", "=\u0338"]
+    want = [[*t.tokenizer.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert [np.frombuffer(x, t.kind).tolist() for x in t.encode(texts, 1)] == want
+    for size, limit in ((300, 20), (1, 1)):
+        monkeypatch.setattr(idcode, "GROUP_BYTES", size)
+        t.memory.limit = limit
+        assert [np.frombuffer(x, t.kind).tolist() for x in t.encode(texts, 1)] == want
+    assert t.encode([], 1) == []
+
+
+def test_marks_make_no_new_words():
+    t = idcode.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    some, marks = ["seen", "Being", "été", "x"], "!?;:)$%&*#."
+    t.encode([" ".join(w + m for w in some for m in marks)], 1)
+    assert len(t.memory.numbers) == len(some) + len(marks)  # each pair of them was learnt before
+    t.tokenizer = None  # known pieces, and none at all, need no tokenizer
+    assert len(t.encode(["x! seen? Seen été.", "", None], 1)) == 3
+
+
 def test_id_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = [(i, t) for i, t in enumerate(ODD)][::-1] + [(None, "no id")]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -48,7 +49,7 @@ class Memory:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        known = np.fromiter((self.older.get(p, -1) for p in new), np.int64, len(new)) if self.older else np.full(len(new), -1)
+        known = np.fromiter(map(self.older.get, new, itertools.repeat(-1)), np.int64, len(new)) if self.older else np.full(len(new), -1)
         coded, counts = self.code([p for p, k in zip(new, known.tolist(), strict=True) if k < 0])
         if (known >= 0).any():
             flat, ends = self.older_at
@@ -72,12 +73,31 @@ class Memory:
         counts = self.ends[every + 1] - self.ends[every]
         ids = gather(self.flat, self.ends[every], counts)
         sums = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        self._age()
+        return ids, np.diff(sums)
+
+    def take(self, distinct: list, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct[i] for each i of ``at``, one after the other; at which id each begins, and their end)."""
+        numbers = np.fromiter(map(self.numbers.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        fresh = numbers < 0
+        self.numbers.new = list(itertools.compress(distinct, fresh.tolist()))
+        numbers[fresh] = np.arange(len(self.numbers), len(self.numbers) + len(self.numbers.new))
+        self.numbers.update(zip(self.numbers.new, numbers[fresh].tolist(), strict=True))
+        self._learn()
+        wide = self.kind.itemsize
+        values = pa.Array.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends * wide), pa.py_buffer(self.flat)])
+        taken = values.take(pa.array(numbers[at]))
+        bounds = np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1) // wide
+        ids = np.frombuffer(taken.buffers()[2], self.kind, int(bounds[-1])) if bounds[-1] else np.empty(0, self.kind)
+        self._age()
+        return ids, bounds
+
+    def _age(self) -> None:
         if len(self.numbers) > self.limit or self.held > self.size:
             self.older, self.older_at = dict(self.numbers), (self.flat, self.ends)
             if len(self.older) > 2 * self.limit or self.held > 2 * self.size:  # one group alone is that large
                 self.older, self.older_at = {}, (np.empty(0, self.kind), np.zeros(1, np.int64))
             self._begin()
-        return ids, np.diff(sums)
 
 
 def give_back() -> None:
