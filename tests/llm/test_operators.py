@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -513,6 +514,30 @@ def test_ngrams_by_brute_force():
     assert all(got[pack(g)] == n for g, n in want.items() if len(g) in (1, 3))
 
 
+def test_ngrams_by_pieces(monkeypatch):
+    rng = random.Random(21)
+    texts = ["", " ", "a", "..a", "a..", "ΑΣ ΑΣΑ", *("".join(rng.choices("abÉİΣ日 .1\n", k=rng.randrange(40))) for _ in range(200))]
+    want = [langid.ngrams(t) for t in texts]
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t, (keys, counts) in zip(texts, want, strict=True):
+            got = langid.ngrams(t)
+            assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts), (piece, t)
+
+
+def test_long_texts_need_little_memory():
+    """A text of 8,000,000 characters within 20 bytes for each."""
+    langid.ngrams("a")
+    text = "the quick brown fox. " * 380_953
+    tracemalloc.start()
+    try:
+        keys, counts = langid.ngrams(text)
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(text)
+    finally:
+        tracemalloc.stop()
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True))[ord("q")] == 380_953
+
+
 def test_classifier(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))

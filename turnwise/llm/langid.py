@@ -30,8 +30,11 @@ from turnwise.llm.common import held_out
 
 PROFILE = 300
 FIT_ROWS = 500
+#: Characters that are counted at a time; bounds the temporary arrays, not the text.
+PIECE = 1 << 20
 UNKNOWN = "und"
 _EDGE = 1
+_BOUND = np.array([_EDGE])
 
 
 @functools.cache
@@ -44,15 +47,28 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct n-grams, counts) of a text."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = np.concatenate([[_EDGE], _letters()[points], [_EDGE]])
-    inner = c != _EDGE
-    c = c[inner | np.concatenate([[True], inner[:-1]])]  # one boundary between words
-    inner = c != _EDGE
-    two = (c[:-1] << 21) | c[1:]
-    three = (two[:-1] << 21) | c[2:]
-    return np.unique(np.concatenate([c[inner], two, three[inner[1:-1]]]), return_counts=True)
+    """(distinct n-grams, counts) of a text, counted a piece at a time, so that memory follows the distinct ones."""
+    text, tail, keys, counts = text.lower(), _BOUND, np.empty(0, np.int64), np.empty(0, np.int64)
+    for at in range(0, max(1, len(text)), PIECE):
+        points = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), np.uint32)
+        c = np.concatenate([tail, _letters()[points], _BOUND[: int(at + PIECE >= len(text))]])
+        inner = c != _EDGE
+        c = c[inner | np.concatenate([[True], inner[:-1]])]  # one boundary between words
+        inner, old = c != _EDGE, len(tail)
+        two = (c[:-1] << 21) | c[1:]
+        three = (two[:-1] << 21) | c[2:]
+        own, n = np.unique(np.concatenate([c[old:][inner[old:]], two[old - 1 :], three[inner[1:-1]]]), return_counts=True)  # those that end beyond the tail
+        keys, counts = _added(keys, counts, own, n) if at else (own, n)
+        tail = c[-2:]
+    return keys, counts
+
+
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out = np.union1d(keys, more)
+    sums = np.zeros(len(out), np.int64)
+    sums[np.searchsorted(out, keys)] = counts
+    sums[np.searchsorted(out, more)] += n
+    return out, sums
 
 
 def top(keys: np.ndarray, counts: np.ndarray, k: int = PROFILE) -> np.ndarray:
