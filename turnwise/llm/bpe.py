@@ -46,6 +46,19 @@ WINDOW = 1024
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Runs that no match of the pattern crosses: a word with the blank before it, or white space.
 _RUNS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Where white space follows a word a run begins; longer texts are cut there, into segments of about so many characters.
+_CUT, SEGMENT = re.compile(rf"[^{_SPACE}][{_SPACE}]"), 1 << 20
+
+
+def segments(text: str | None) -> list[str | None]:
+    """The text, or its parts, whose runs are those of the text."""
+    if not text or len(text) <= SEGMENT:
+        return [text]
+    out, at = [], 0
+    while (cut := _CUT.search(text, at + SEGMENT)) is not None:
+        out.append(text[at : cut.end() - 1])
+        at = cut.end() - 1
+    return [*out, text[at:]]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -435,6 +448,14 @@ class Coder:
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
+        if any(t and len(t) > SEGMENT for t in texts):
+            cut = [segments(t) for t in texts]
+            ids, counts = self.encode_many_short(list(itertools.chain.from_iterable(cut)))
+            return ids, np.add.reduceat(counts, np.cumsum([0, *map(len, cut[:-1])]))
+        return self.encode_many_short(texts)
+
+    def encode_many_short(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, for texts whose runs may be held at once."""
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and each collection would walk the memory
         try:

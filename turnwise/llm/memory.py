@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Pieces of the texts that are coded at a time, about.
 GROUP = 200_000
+#: Elements that are gathered at a time, about.
+BLOCK = 1 << 22
 
 
 class _Numbers(dict):
@@ -109,10 +111,19 @@ def give_back() -> None:
 
 
 def gather(flat: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """flat[a : a + n] for each place and count, one after the other."""
-    total = int(counts.sum())
-    before = np.cumsum(counts) - counts
-    return flat[np.repeat(at - before, counts) + np.arange(total)]
+    """flat[a : a + n] for each place and count, one after the other. About BLOCK elements at a time have their places worked out."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    if total <= BLOCK:
+        return flat[np.repeat(at - (ends - counts), counts) + np.arange(total)]
+    out, row = np.empty(total, flat.dtype), 0
+    while row < len(ends):
+        done = int(ends[row] - counts[row])
+        to = max(row + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
+        own, n = ends[row:to], counts[row:to]
+        out[done : int(own[-1])] = flat[np.repeat(at[row:to] - (own - n), n) + np.arange(done, int(own[-1]))]
+        row = to
+    return out
 
 
 def in_groups(texts: list, split: Callable[[object], list], memory: Memory):
